@@ -6,12 +6,16 @@ random order of its own (optimal densification). ROWS neighbouring bins form a
 band; documents that agree in a band share a bucket.
 
 Rows with equal sets are one class from the start, named by its smallest id, so
-a crowd of copies costs one candidate. In the first round every member of a
-bucket is paired with the bucket's smallest class only: a star, not all pairs.
-Pairs are confirmed on full sets. A bucket in which classes stay unlinked gets
-further, more numerous centres in later rounds (FAN times as many each), until
-every two of its members are linked, or were compared; so no link is lost to the
-star shape, and few rounds suffice.
+a crowd of copies costs one candidate. Every member of a bucket is paired with
+one centre only, a star instead of all pairs; the centre is the member that
+meets most others over all its buckets, as the original of a group of copies
+does. Pairs are confirmed on full sets.
+
+Where a bucket's members are still in different components, a link between two
+of them that both miss the centre may exist. Such buckets chain into families.
+A family's full sets are compared exactly, in blocks of bounded size: all
+classes outside the family's largest component against all of the family. No
+pair becomes a row unless it is a link, and no link is lost to the star shape.
 
 All tables between the steps lie in the shared folder; nothing about documents
 is collected or broadcast by hand.
@@ -22,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .storage import Workspace
 
-SHINGLE, BINS, ROWS, FAN = 5, 128, 4, 8
+SHINGLE, BINS, ROWS = 5, 128, 4
+#: Classes on each side of a block of a family.
+BLOCK_CLASSES = 768
 #: A link needs LINK[0] * |intersection| >= LINK[1] * |union|.
 LINK = (100, 75)
 
@@ -142,6 +149,51 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(LINK[0] * F.col("i") >= LINK[1] * F.col("u")).select("a", "b")
 
 
+def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one block: rows of side 0 against rows of side 1, one for each class and component it reaches.
+
+    Shared shingles are counted over posting lists of side 1, one class of side 0 at a time.
+    """
+    rows, cols = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].reset_index(drop=True)
+    found: list[tuple] = []
+    if len(rows) and len(cols):
+        sizes = cols["shingles"].map(len).to_numpy()
+        everything = np.concatenate(cols["shingles"].to_list())
+        order = np.argsort(everything, kind="stable")
+        keys, owner = everything[order], np.repeat(np.arange(len(cols)), sizes)[order]
+        homes, labels = cols["component"].to_numpy(), cols["label"].to_numpy()
+        for label, home, s in zip(rows["label"], rows["component"], rows["shingles"]):
+            lo, hi = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared = np.bincount(owner[at], minlength=len(cols))
+            near = np.flatnonzero((LINK[0] * shared >= LINK[1] * (len(s) + sizes - shared)) & (homes != home))
+            found += [(label, labels[near[k]]) for k in np.unique(homes[near], return_index=True)[1]] if len(near) else []
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def family_links(members: DataFrame, joined: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame | None:
+    """Links between classes that share an unsettled bucket; None if every bucket lies in one component."""
+    placed = members.join(joined.withColumnRenamed("node", "label"), "label", "left").select("key", "label", F.coalesce("component", "label").alias("component"))
+    unsettled = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("label").alias("first")).where("lo <> hi").select("key", "first")
+    rest = work.save(placed.join(unsettled, "key").select("label", "component", "first").distinct(), "unsettled")
+    if rest.isEmpty():
+        return None
+    chained = components(rest.select(F.col("label").alias("a"), F.col("first").alias("b")), work, "families").toDF("label", "family")
+    classes = rest.select("label", "component").distinct().join(chained, "label", "left").select("label", "component", F.coalesce("family", "label").alias("family"))
+    classes = work.save(classes, "families")
+    per = classes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("family").agg(F.sum("n").alias("n"), F.max_by("component", "n").alias("main"))
+    sized = classes.join(whole, "family").withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
+    own = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = sized.join(sets, "label")
+    row = held.where("component <> main").select("family", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "label", "component", "shingles")
+    col = held.select("family", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "label", "component", "shingles")
+    kind = sets.schema["label"].dataType.simpleString()
+    return row.unionByName(col).groupBy("family", "i", "j").applyInPandas(block_links, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id = component_id).
 
@@ -156,35 +208,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = work.save(usable.groupBy("set_id").agg(F.min("id").alias("label")), "classes")
     heads = usable.join(classes.withColumnRenamed("label", "id"), ["set_id", "id"], "left_semi")
     entries = heads.select(F.col("id").alias("label"), F.explode("bands").alias("key"))
-    crowded = entries.groupBy("key").agg(F.min("label").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = work.save(entries.join(crowded, "key").select("key", "label", "centre", "n").where("label <> centre"), "members-1")
+    crowded = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = work.save(entries.join(crowded, "key").select("key", "label", "n").distinct(), "members")
+    met = members.groupBy("label").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "label").groupBy("key").agg(F.max_by("label", F.struct("met", "label")).alias("centre"))
+    pairs = members.join(centres, "key").where("label <> centre").select(F.col("label").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = work.save(pairs, "pairs")
     texts = docs.select(F.col(f"`{id_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    pairs = work.save(members.select(F.col("label").alias("a"), F.col("centre").alias("b")).distinct(), "pairs-1")
     named = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
     sets = work.save(full_sets(texts.join(named, "label", "left_semi")), "sets")
-    links = work.save(confirm(pairs, sets), "links-1")
-    turn = 1
-    while True:
-        joined = components(links, work, f"components-{turn}")
-        placed = members.join(joined.withColumnRenamed("node", "label"), "label", "left").select("key", "label", "n", F.coalesce("component", "label").alias("component"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("label").alias("first")).where("lo <> hi").select("key", "first")
-        turn += 1
-        rest = work.save(placed.join(open_keys, "key"), f"members-{turn}")
-        if rest.isEmpty():
-            break
-        chosen = (F.col("label") == F.col("first")) | (F.pmod(F.xxhash64("label", "key"), F.col("n")) < FAN ** (turn - 1))
-        centres = rest.where(chosen).select("key", F.col("label").alias("b"), F.col("component").alias("cb"))
-        fresh = rest.join(centres, "key").where(F.col("component") != F.col("cb")).select(F.greatest("label", "b").alias("a"), F.least("label", "b").alias("b")).distinct()
-        told = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = work.save(fresh.join(told, ["a", "b"], "left_anti"), f"pairs-{turn}")
-        links = work.save(links.unionByName(confirm(fresh, sets)), f"links-{turn}")
-        pairs = pairs.unionByName(fresh)
-        members = rest.where(~chosen).select("key", "label", "n")
+    links = work.save(confirm(pairs, sets), "links")
+    joined = components(links, work, "components")
+    more = family_links(members, joined, sets, work)
+    if more is not None:
+        joined = components(links.unionByName(work.save(more, "more")), work, "joined")
     labels = classes.join(joined.withColumnRenamed("node", "label"), "label", "left").select("set_id", F.coalesce("component", "label").alias("component"))
     marked = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(labels, "set_id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = work.save(marked.select("id", "n_shingles", component.alias("component_id")), "result")
-    work.drop(*(t for t in ("signatures", "classes", "sets") ), *(f"{t}-{k}" for k in range(1, turn + 1) for t in ("members", "pairs", "links")))
+    work.drop_all_but("result")
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

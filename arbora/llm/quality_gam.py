@@ -247,7 +247,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     features = work.save(featurize(docs, id_col, text_col), "features")
     model = train(features, labels.withColumnRenamed(label_id, id_col) if label_id != id_col else labels, id_col, label_col, usable, fit_rows)
     out = work.save(_scored(features, model), "scores")
-    work.drop("features")
+    work.drop_all_but("scores")
     return out.select(F.col("id").alias(id_col), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

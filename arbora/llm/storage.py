@@ -1,41 +1,5 @@
-"""Tables that cut a lineage, kept in the folder that all executors share."""
+"""The library's tables in the shared folder."""
 
-from __future__ import annotations
+from ..storage import Workspace, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of this process only where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        app = spark.sparkContext.applicationId
-        known = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="arbora-"))
-    return known.rstrip("/")
-
-
-class Workspace:
-    """Writes tables under one folder of the shared directory and deletes what is no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes df as Parquet and returns it reread, so that a lost executor costs one read.
-
-        The schema is given, so no job infers it and an empty table reads back."""
-        path, schema = f"{self.root}/{table}", df.schema
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, *tables: str) -> None:
-        for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "shared_dir"]
