@@ -1,0 +1,285 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
+
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from arbora.llm import byte_bpe, chat_format, decontaminate, html_extract, lang_id, near_dedup, quality_gam, quality_rules, secret_scan, url_filter
+
+WORDS = "the quick brown fox jumps over a lazy dog while seven wizards mix bold potions in quiet caves".split()
+SCHEMA = "doc_id bigint, text string, lang string, id string, label string, spans string, key string, score string"
+
+
+def rows(*texts, start=1):
+    return [(start + i, t, "en", "x", "y", "z", "k", "s") for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = random.Random(1)
+    long = " ".join(rng.choice(WORDS) for _ in range(400_000))
+    one = "x" * 1_300_000
+    plain = " ".join(rng.choice(WORDS) for _ in range(60))
+    data = rows(None, "", " \n\t ", plain, plain, long, one, "täxt ñ 漢字 \U0001f600")
+    return spark.createDataFrame([*data, data[3], (None, plain, None, None, None, None, None, None), (None, None, None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_url_filter(spark):
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/", "block"), (None, "/", "block"), ("b", None, "block")], "host string, path string, verdict string")
+    urls = [None, "", "no scheme", "http://", "http://EXAMPLE.net/en/x", "http://a.example.net/EN/", "http://net", "http://net/", "http://fishnet/", "http://x.b?q", "ftp://a..net/p#f", "http://x.b?q"]
+    pages = spark.createDataFrame([(i, u, "h", "k", "l", "s") for i, u in enumerate(urls)], "page_id long, url string, host string, key string, lane string, stack string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls)
+    assert [got[i].host for i in range(4)] == ["", "", "", ""]
+    assert (got[4].host, got[4].rule, got[4].verdict) == ("example.net", "example.net/en/", "block")
+    assert (got[5].rule, got[6].rule, got[7].rule, got[8].rule) == ("net/", None, "net/", None)
+    assert (got[9].rule, got[9].path, got[10].rule, got[10].path) == ("b", "", "net/", "/p")
+    assert {got[i].verdict for i in (0, 1, 2, 3, 6, 8)} == {"allow"}
+    empty = spark.createDataFrame([], rules.schema)
+    assert {r.verdict for r in url_filter.filter_urls(pages, empty).collect()} == {"allow"}
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_quality_rules(odd, none):
+    got = quality_rules.judge_documents(odd).collect()
+    assert len(got) == 11
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, r)
+    assert [by[i].n_words for i in (1, 2, 3, 6, 7, 8)] == [0, 0, 0, 400_000, 1, 4]
+    assert by[7].word_chars == 1_300_000 and by[8].word_chars == 8 and by[1].base_failed and by[1].llr == 0
+    assert quality_rules.judge_documents(none).count() == 0
+    trusted = quality_rules.judge_documents(odd.withColumn("good", F.col("doc_id") == 4), trusted_col="good")
+    assert trusted.count() == 11
+
+
+def test_near_dedup(spark, odd, none):
+    got = near_dedup.near_duplicates(odd).collect()
+    assert len(got) == 11
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert [by[i].n_shingles for i in (1, 2, 3, 7, 8)] == [0, 0, 0, 1, 1]
+    assert (by[4].component_id, by[5].component_id, by[5].kept) == (4, 4, False)
+    assert all(by[i].kept and by[i].component_id == i for i in (1, 2, 3, 4, 6, 7, 8))
+    assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+    assert near_dedup.near_duplicates(none).count() == 0
+    kept = near_dedup.keep_one(odd).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 2, 3, 4, 6, 7, 8]
+    assert near_dedup.keep_one(odd).columns == odd.columns
+
+
+def test_near_dedup_finds_links_that_miss_every_centre(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
+            t[at] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    from test_brute_force import plain_components
+
+    want = plain_components(list(enumerate(texts, 1)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_family_blocks_split_a_family(spark, monkeypatch):
+    import pandas as pd
+
+    import numpy as np
+
+    s = [np.arange(100), np.arange(2, 102), np.arange(1000, 1100)]
+    pdf = pd.DataFrame([(0, 1, 1, s[0]), (1, 2, 2, s[1]), (1, 3, 3, s[2]), (1, 1, 1, s[0])], columns=["side", "label", "component", "shingles"])
+    assert near_dedup.block_links(pdf).to_numpy().tolist() == [[1, 2]]
+
+
+def test_signature_densification_keeps_minima():
+    import numpy as np
+
+    from arbora.llm import blocks as B
+
+    s = np.sort(B.stream(3, 9))
+    sig = near_dedup.signature(s)
+    assert set(sig.tolist()) <= set(s.tolist()) and len(set(sig.tolist())) > 1
+
+
+def test_quality_gam(spark, odd, none):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (6, 1, 1), (7, 0, 1), (None, 1, 0), (8, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_gam.score_quality(odd, labels).collect()
+    assert len(got) == 11 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert quality_gam.score_quality(none, labels).count() == 0
+    alone = quality_gam.score_quality(odd, labels.limit(0)).collect()
+    assert {round(r.score, 6) for r in alone} == {0.5}
+    kept = quality_gam.keep_good(odd, labels.limit(0), least=0.4)
+    assert kept.count() == 11 and kept.columns == odd.columns
+
+
+def test_additive_model_learns_an_interaction():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (3000, len(quality_gam.FEATURES)))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = quality_gam.fit(x[:2000], y[:2000])
+    assert ((m.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9
+
+
+def test_html_extract(spark):
+    cases = {
+        None: "",
+        "": "",
+        "<p>": "",
+        "<article><p>a &amp; b&nbsp;c</p></article>": "a & b c",
+        "<nav><a href=x>m</a></nav><article><h1>T</h1><p>one <b>two<br>three</p><aside>side</aside><div class='comments'><p>no</p></div></article><footer>f</footer>": "T\none two three",
+        "<article>x<script>var t='</article><p>no</p>';</script>y</article>": "xy",
+        "<article><p>a < b &lt; c &am</p>": "a < b < c &am",
+        "<div id='cookie-notice'>accept</div><form>f<input></form>" + "<p>" + "the cat and the dog are on the mat with a hat " * 6 + "</p><p>Short.</p>": ("the cat and the dog are on the mat with a hat " * 6).strip() + "\nShort.",
+        "<article><!-- c --><p title='a>b'>ok</p><![CDATA[z]]></article>": "ok\nz",
+    }
+    pages = spark.createDataFrame([(i, "u", h, "t", 1) for i, h in enumerate(cases)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+    for i, want in enumerate(cases.values()):
+        assert got[i] == want, i
+    assert html_extract.extract_text(pages.limit(0)).count() == 0
+    assert html_extract.main_text("<a " * 30_000 + "\"'") is not None
+
+
+def test_chat_format(spark):
+    part = lambda t, text=None, ref=None, n=None: (t, text, ref, n)
+    turns = [
+        (1, 0, "user", [part("text", "see <|image|> \\b <|"), part("image", ref="a.png"), part("audio", ref="b.wav", n=7), part("video", "gone")]),
+        (1, 1, "assistant", [part("text", "ok \\n <\\p"), part("document", ref="c.pdf")]),
+        (1, 1, "assistant", [part("text", "ok \\n <\\p"), part("document", ref="c.pdf")]),
+        (2, None, None, None),
+        (None, 0, "a\nb<|", [part("text", None)]),
+    ]
+    df = spark.createDataFrame(turns, f"conv_id long, turn int, role string, parts {chat_format.PARTS}").withColumn("formatted", F.lit("clash"))
+    got = {r.conv_id: r for r in chat_format.format_chats(df).select("*", chat_format.parse_chat(F.col("formatted")).alias("ts"), chat_format.read_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert len(got) == 3
+    one = got[1]
+    assert [a.ref for a in one.attachments] == ["a.png", "b.wav", "c.pdf", "c.pdf"] and one.n_expanded_tokens == 256 + 7 + 512 + 512
+    assert one.formatted.count("<|im_start|>") == 3 and one.formatted.count("<|image|>") == 1
+    assert one.loss == "ok \\n <\\p<|document|>" * 2
+    assert [t.role for t in got[None].ts] == ["a\nb<|"] and [t.text for t in got[2].ts] == [""]
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_byte_bpe(spark, odd, none):
+    got = byte_bpe.digest_documents(odd, carry=("lang",)).collect()
+    assert len(got) == 11 and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in got if r.doc_id)
+    back = byte_bpe.decode_documents(byte_bpe.encode_documents(odd)).collect()
+    assert {r.text for r in back} == set(texts.values())
+    assert byte_bpe.digest_documents(none).count() == 0
+
+
+def test_byte_bpe_equals_reference_on_random_strings():
+    import tiktoken
+
+    bpe = byte_bpe.load()
+    import public_tokenizers as P
+
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(7)
+    alphabets = ["ab", "etaoin shr", "".join(map(chr, range(32, 127))), "äöüß éèç\n\t ", "漢字かな\U0001f600\U0001f468‍", "0123456789 .,", "\x00\x1c\x1d\x85\xa0 　 x", "'s't're"]
+    for _ in range(1500):
+        t = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(0, 80)))
+        assert bpe.encode(t) == plain.encode_ordinary(t), repr(t)
+    for t in ("a" * 5000, "ab" * 3000, "thinonthe" * 800):
+        assert bpe.encode(t) == plain.encode_ordinary(t)
+
+
+def test_lang_id(spark, odd, none):
+    train = spark.createDataFrame(rows(*["the cat and the dog"] * 5) + [(10 + i, "der Hund und die Katze", "de", None, None, None, None, None) for i in range(5)] + [(30, None, "fr", None, None, None, None, None)], SCHEMA)
+    model = lang_id.train(train, "doc_id", "text", "lang")
+    assert model.languages == ["de", "en"]
+    got = lang_id.predict_language(odd, model).collect()
+    assert len(got) == 11
+    assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and {r.lang_pred for r in got if r.doc_id in (4, 6)} <= {"de", "en"}
+    numbers = spark.createDataFrame([(1, "12 34 !?"), (2, "漢")], "doc_id long, text string")
+    assert [r.lang_pred != "und" for r in lang_id.predict_language(numbers, model).orderBy("doc_id").collect()] == [False, True]
+    nothing = lang_id.train(none, "doc_id", "text", "lang")
+    assert {r.lang_pred for r in lang_id.predict_language(odd, nothing).collect()} == {"und"}
+    assert lang_id.predict_language(none, model).count() == 0
+
+
+def test_gru_gradients_match_differences():
+    import numpy as np
+
+    model = lang_id.BiGRU(["a", "b"], hidden=3, seed=1)
+    model.p = {k: v.astype(np.float64) * 0.3 for k, v in model.p.items()}
+    codes, y = np.array([[1, 2], [3, 1], [2, 2]], np.uint8), np.array([0, 1])
+    _, g = model.gradients(codes, y)
+    for k, at in (("table", (0, 2, 1)), ("table", (1, 1, 7)), ("back", (0, 1, 2)), ("back", (1, 2, 8)), ("out", (4, 1)), ("bias", (0,))):
+        old = model.p[k][at]
+        ends = []
+        for d in (1e-3, -1e-3):
+            model.p[k][at] = old + d
+            ends.append(model.gradients(codes, y)[0])
+        model.p[k][at] = old
+        assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-4, (k, at)
+
+
+def test_secret_scan(spark, odd, none):
+    texts = [
+        "token: token: abcdefgh", 'é PASSWORD = "hunter2hunter2" x', "AKIA" + "A" * 15, "AKIA" + "B7" * 8, "0123456789abcdef01234567", "Secret=abc", "key aB3xK9mQ2vL7pR4tY8wZ end",
+        "an-ordinary-slug-of-many-words-2024 thisisaverylongwordofletters 12345678901234567890123", "550e8400-e29b-41d4-a716-446655440000",
+    ]
+    df = spark.createDataFrame(rows(*texts), SCHEMA)
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in secret_scan.scan_secrets(df).collect()}
+    assert got[1] == [] and got[2] == [("assign", 2, 28)]
+    assert got[3] == [] and got[4] == [("access", 0, 20)] and got[5] == [("hex", 0, 24)] and got[6] == []
+    assert got[7] == [("entropy", 4, 24)] and got[8] == [] and got[9] == []
+    assert len(secret_scan.scan_secrets(odd).collect()) == 11 and secret_scan.scan_secrets(none).count() == 0
+    masked = {r.doc_id: (r.text, r.score) for r in secret_scan.redact_secrets(df).collect()}
+    assert masked[2][0] == 'é [SECRET]" x'
+    assert masked[7][0] == "key [SECRET] end"
+    same = secret_scan.redact_secrets(odd)
+    assert same.columns == odd.columns and sorted(str(r.text) for r in same.collect()) == sorted(str(r.text) for r in odd.collect())
+
+
+def test_decontaminate(spark, odd, none):
+    rng = random.Random(11)
+    item = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20))
+    bench = [(i, item() + ". " + item().split(" ", 12)[0] + " final answer here.") for i in range(30)]
+    bench += [(40, None), (41, ""), (42, bench[0][1])]
+    items = spark.createDataFrame(bench, "item_id int, text string")
+    noise = " ".join(rng.choice(WORDS) for _ in range(300))
+    docs = spark.createDataFrame(rows(noise, noise + " " + bench[3][1].upper() + " " + noise, bench[0][1], " ".join(bench[5][1].split()[:8]) + " " + noise), SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(2, 3), (3, 0), (3, 42)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [1, 4]
+    assert decontaminate.find_leaks(odd, items).count() == 0 and decontaminate.find_leaks(none, items).count() == 0
+    assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0 and decontaminate.drop_leaks(docs, items.limit(0)).count() == 4
+
+
+def test_retrieval_is_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vocabulary = [f"t{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(3, 30))) for _ in range(60)]
+    index = decontaminate.Index(list(range(60)), texts)
+    n_queries = 80
+    query, term = [], []
+    for q in range(n_queries):
+        some = np.unique(np.concatenate([rng.integers(0, len(index.vocabulary), 25), np.searchsorted(index.vocabulary, decontaminate._tokens(texts[q % 60]))[: rng.integers(1, 20)]]))
+        query += [q] * len(some)
+        term += some.tolist()
+    query, term = np.array(query), np.array(term)
+    for least in (0.3, 0.5, 0.8):
+        scores = {}
+        for q, t in zip(query, term):
+            for p in range(index.first[t], index.first[t + 1]):
+                scores[q, index.item[p]] = scores.get((q, index.item[p]), 0) + index.weight[p]
+        want = {k: round(v, 9) for k, v in scores.items() if v >= least * (1 - 1e-9)}
+        got = {(q, i): round(s, 9) for q, i, s in zip(*index.retrieve(query, term, n_queries, least))}
+        assert got == want
