@@ -67,9 +67,9 @@ def _python_symbols(path: str, source: str) -> list[tuple]:
                 where = child.name
             elif isinstance(child, ast.ImportFrom):
                 module = "." * child.level + (child.module or "")
-                rows += [(path, "import", "Import", a.name, child.lineno, child.lineno, False, module, a.asname) for a in child.names]
+                rows.extend([(path, "import", "Import", a.name, child.lineno, child.lineno, False, module, a.asname) for a in child.names])
             elif isinstance(child, ast.Import):
-                rows += [(path, "import", "Import", "*", child.lineno, child.lineno, False, a.name, a.asname) for a in child.names]
+                rows.extend([(path, "import", "Import", "*", child.lineno, child.lineno, False, a.name, a.asname) for a in child.names])
             elif isinstance(child, ast.Call):
                 f = child.func
                 called = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
