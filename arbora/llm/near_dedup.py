@@ -214,9 +214,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = members.join(met, "label").groupBy("key").agg(F.max_by("label", F.struct("met", "label")).alias("centre"))
     pairs = members.join(centres, "key").where("label <> centre").select(F.col("label").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = work.save(pairs, "pairs")
+    # by merge at every size: what is named grows with the documents, so no plan should rest on broadcasting it
     texts = docs.select(F.col(f"`{id_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"))
     named = pairs.select(F.col("a").alias("label")).union(pairs.select("b")).distinct()
-    sets = work.save(full_sets(texts.join(named, "label", "left_semi")), "sets")
+    sets = work.save(full_sets(texts.join(named.hint("merge"), "label", "left_semi")), "sets")
     links = work.save(confirm(pairs, sets), "links")
     joined = components(links, work, "components")
     more = family_links(members, joined, sets, work)
@@ -236,5 +237,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows without an id all stay.
     """
     kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`")).distinct()
-    held = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    held = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
     return held.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
