@@ -42,7 +42,7 @@ def connected_components(g: PropertyGraph) -> DataFrame:
     return g.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(g: PropertyGraph, max_rounds: int = 1000) -> DataFrame:
+def strong_components(g: PropertyGraph, max_rounds: int = 100_000) -> DataFrame:
     """id, component of strongly connected components of two vertices or more; the name is the smallest id.
 
     Vertices that lie on no cycle are trimmed by degree. Then every vertex takes
@@ -51,17 +51,16 @@ def strong_components(g: PropertyGraph, max_rounds: int = 1000) -> DataFrame:
     """
     work = Workspace(g.spark, "scc")
     e = work.save(g.without_dangling().edges.where("src <> dst").select("src", "dst").distinct(), "edges-0")
-    found, k = None, 0
+    found, k, n = None, 0, e.count()
     while k < max_rounds:
         while True:  # trim
             k += 1
             kept = work.save(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), f"edges-{k}")
-            same = kept.count() == e.count()
             work.drop(f"edges-{k - 1}")
-            e = kept
-            if same:
+            e, before, n = kept, n, kept.count()
+            if n == before:
                 break
-        if e.isEmpty():
+        if not n:
             break
         colour = _settle(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("c", F.col("id")), e, work, f"colour-{k}")
         inside = work.save(
@@ -80,6 +79,7 @@ def strong_components(g: PropertyGraph, max_rounds: int = 1000) -> DataFrame:
         found = reach if found is None else found.unionByName(reach)
         k += 1
         e = work.save(e.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), f"edges-{k}")
+        n = e.count()
     if found is None:
         return g.vertices.select("id", F.col("id").alias("component")).limit(0)
     big = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
