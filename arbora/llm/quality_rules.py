@@ -21,7 +21,7 @@ from . import blocks as B
 
 BUCKETS = 1 << 14
 #: Mean log ratio under which a document is dropped.
-THRESHOLD = -1.0
+THRESHOLD = -0.4
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
