@@ -160,3 +160,65 @@ def i02(spark, d):
         return PropertyGraph(v.select(*g.vertices.columns), e)
 
     return refresh(g, changes, rebuild).vertices.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Orders handle routes (their priority) and tools (their status); customers call orders; regions of customers fetch routes.
+API_V = "select 'order:' || o_orderkey as id, 'Function' as label, o_orderpriority as name, 'api/' || o_orderstatus as file_path from orders"
+API_E = """
+select 'order:' || o_orderkey as src, 'route:' || o_orderpriority || (o_custkey % 50) as dst, 'HANDLES_ROUTE' as type, cast(0.7 as double) as confidence from orders where o_orderstatus = 'F'
+union all select 'order:' || o_orderkey, 'tool:' || o_orderpriority, 'HANDLES_TOOL', cast(0.6 as double) from orders where o_orderstatus = 'P'
+union all select 'customer:' || o_custkey, 'order:' || o_orderkey, 'CALLS', cast(0.9 as double) from orders
+union all select 'nation:' || c_nationkey, 'route:5-LOW' || (c_custkey % 50), 'FETCHES', cast(0.7 as double) from customer
+"""
+API = f"with v as ({API_V}), e as ({API_E}), h as (select src as handler, dst as route from e where type = 'HANDLES_ROUTE'), rc as (select route, handler, src as consumer from h join e on handler = dst and type = 'CALLS' union select h.route, handler, src from h join e on h.route = dst and type = 'FETCHES')"
+
+
+@query("j19_route_consumers", f"{API} select route, handler, consumer from rc")
+def j19(spark, d):
+    from ..operators.api import route_consumers
+
+    return route_consumers(V.graph(spark, d, API_V, API_E))
+
+
+@query("j20_tool_callers", f"{API}, t as (select src as handler, dst as tool from e where type = 'HANDLES_TOOL') select distinct tool, handler, src as caller from t left join e on handler = dst and type = 'CALLS'")
+def j20(spark, d):
+    from ..operators.api import tool_callers
+
+    return tool_callers(V.graph(spark, d, API_V, API_E))
+
+
+@query(
+    "j21_api_impact",
+    f"{API}, r as (select src as id, count(distinct dst) as n from e where type = 'HANDLES_ROUTE' group by 1), t as (select src as id, count(distinct dst) as n from e where type = 'HANDLES_TOOL' group by 1), c as (select handler as id, count(distinct consumer) as n from rc group by 1), x as (select v.id, coalesce(r.n, 0) as n_routes, coalesce(t.n, 0) as n_tools, coalesce(c.n, 0) as n_consumers from v left join r on v.id = r.id left join t on v.id = t.id left join c on v.id = c.id) select *, case when n_routes + n_tools = 0 then 'internal' when n_consumers > 0 then 'exposed' else 'unused' end as status from x",
+)
+def j21(spark, d):
+    from ..operators.api import api_impact
+
+    g = V.graph(spark, d, API_V, API_E)
+    return api_impact(g, g.vertices)
+
+
+@query(
+    "j29_wrap_routes",
+    "with u as (select distinct 'route:' || p_brand as route, p_type as middleware from part), k as (select p_type as middleware, min('fn:' || p_partkey) as id from part where p_type <> 'SMALL' group by 1) select coalesce(id, 'middleware:' || u.middleware) as src, route as dst, 'WRAPS' as type, case when id is null then 0.7 else 0.8 end::double as confidence from u left join k on u.middleware = k.middleware",
+)
+def j29(spark, d):
+    from ..operators.api import wrap_routes
+
+    uses = V.sql(spark, d, "select 'route:' || p_brand as route, p_type as middleware from part")
+    return wrap_routes(uses, V.sql(spark, d, "select 'fn:' || p_partkey as id, p_type as name from part where p_type <> 'SMALL'"))[1]
+
+
+@query(
+    "j28_type_edges",
+    """with d as (select 'c' || c_custkey as id, 'f' || c_nationkey as file_path, 'T' || (c_custkey % 9) as type_name, case when c_custkey % 2 = 0 then 'RETURNS_TYPE' else 'DECLARES_TYPE' end as kind from customer),
+    t as (select 's' || s_suppkey as type_id, 'T' || (s_suppkey % 9) as type_name, 'f' || s_nationkey as loc from supplier), i as (select 'f' || n_nationkey as src, 'f' || (n_nationkey + 5) as dst from nation),
+    v as (with recursive p(root, loc, k) as (select distinct file_path, file_path, 0 from d union select root, dst, k + 1 from p join i on loc = src) select root, loc, k from p),
+    h as (select d.id as src, kind as type, type_id, row_number() over (partition by d.id, kind order by k > 0, type_id) as r from d join v on d.file_path = v.root join t on t.loc = v.loc and t.type_name = d.type_name) select src, type_id as dst, type from h where r = 1""",
+)
+def j28(spark, d):
+    from ..operators.api import type_edges
+
+    declared = V.sql(spark, d, "select 'c' || c_custkey as id, 'f' || c_nationkey as file_path, 'T' || (c_custkey % 9) as type_name, case when c_custkey % 2 = 0 then 'RETURNS_TYPE' else 'DECLARES_TYPE' end as kind from customer")
+    types = V.sql(spark, d, "select 's' || s_suppkey as id, 'T' || (s_suppkey % 9) as name, 'f' || s_nationkey as file_path from supplier")
+    return type_edges(declared, types, V.sql(spark, d, "select 'f' || n_nationkey as file_path, 'f' || (n_nationkey + 5) as target_path from nation "))
