@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once; a single longer text forms a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes whose prefix sums are held at once while words are hashed.
 HASH_BYTES = 1 << 20
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces up to so many bytes are remembered, at most CACHED of them per worker; likewise pairs.
-CACHED_BYTES, CACHED, CACHED_PAIRS = 48, 300_000, 400_000
+CACHED_BYTES, CACHED, CACHED_PAIRS = 48, 150_000, 200_000
 
 
 def _merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:

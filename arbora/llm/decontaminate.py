@@ -34,6 +34,10 @@ RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
 K1, BM_B, BLOCK_ITEMS = 1.2, 0.75, 16
 #: Bytes of test items in one index.
 SHARD_BYTES = 8 << 20
+#: Bytes of text whose passages are queried together.
+QUERY_BYTES = 1 << 19
+#: Sums of (passages x items) up to so many are kept in one dense array.
+DENSE = 1 << 21
 #: Least words of a passage.
 LEAST_PASSAGE = 64
 OUTSIDE = np.ones(256, bool)
@@ -151,7 +155,7 @@ class Index:
         inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         post = np.repeat(self.first[t], sizes) + inner
         pair = np.repeat(q, sizes) * len(self.ids) + self.item[post]
-        if n_queries * len(self.ids) <= 1 << 24:
+        if n_queries * len(self.ids) <= DENSE:
             sums = np.bincount(pair, self.weight[post], minlength=n_queries * len(self.ids))
             pairs = np.flatnonzero(sums)
             opened = sums[pairs]
@@ -250,7 +254,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def find(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in B.text_blocks(batch.column(0)):
+                for block in B.text_blocks(batch.column(0), QUERY_BYTES):
                     hits = sorted(index.hits(block, retrieve, question, answer).items())
                     if hits:
                         yield pa.RecordBatch.from_arrays(
@@ -273,7 +277,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in B.text_blocks(batch.column(at)):
+                for block in B.text_blocks(batch.column(at), QUERY_BYTES):
                     good = np.ones(len(block), bool)
                     good[[r for r, _ in index.hits(block)]] = False
                     yield batch.slice(block.lo, len(block)).filter(pa.array(good))

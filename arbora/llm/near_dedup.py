@@ -35,8 +35,8 @@ from . import blocks as B
 from .storage import Workspace
 
 SHINGLE, BINS, ROWS = 5, 128, 4
-#: Classes on each side of a block of a family.
-BLOCK_CLASSES = 768
+#: Classes and shingles on each side of a block of a family, on average.
+BLOCK_CLASSES, BLOCK_SHINGLES = 768, 500_000
 #: A link needs LINK[0] * |intersection| >= LINK[1] * |union|.
 LINK = (100, 75)
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """label and shingles (array of long) of rows (text, label)."""
+    """label, n and shingles (array of long) of rows (text, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(block))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, len(block)), lists], names=["label", "shingles"])
+                sizes = pa.array([len(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.lo, len(block)), sizes, lists], names=["label", "n", "shingles"])
 
-    return docs.select("text", "label").mapInArrow(run, f"label {docs.schema['label'].dataType.simpleString()}, shingles array<long>")
+    return docs.select("text", "label").mapInArrow(run, f"label {docs.schema['label'].dataType.simpleString()}, n long, shingles array<long>")
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -182,12 +183,13 @@ def family_links(members: DataFrame, joined: DataFrame, sets: DataFrame, work: W
     chained = components(rest.select(F.col("label").alias("a"), F.col("first").alias("b")), work, "families").toDF("label", "family")
     classes = rest.select("label", "component").distinct().join(chained, "label", "left").select("label", "component", F.coalesce("family", "label").alias("family"))
     classes = work.save(classes, "families")
-    per = classes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    whole = per.groupBy("family").agg(F.sum("n").alias("n"), F.max_by("component", "n").alias("main"))
-    sized = classes.join(whole, "family").withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
+    per = classes.join(sets.select("label", "n"), "label").groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    whole = per.groupBy("family").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max_by("component", "k").alias("main"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
+    sized = classes.join(whole, "family").select("label", "family", "component", "main", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = sized.join(sets, "label")
+    held = sized.join(sets.select("label", "shingles"), "label")
     row = held.where("component <> main").select("family", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "label", "component", "shingles")
     col = held.select("family", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "label", "component", "shingles")
     kind = sets.schema["label"].dataType.simpleString()
