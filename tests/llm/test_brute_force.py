@@ -50,6 +50,17 @@ def test_quality_rules(spark, docs):
         assert not (failed and r.kept)
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", SF])
+def test_quality_rules_part_labels(spark, sf):
+    got = run(spark, "op2_quality_rules", sf).merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    judged = got[~got.base_failed]
+    good, junk = judged[judged.quality == 1], judged[judged.quality == 0]
+    assert len(good) and len(junk)
+    assert good.kept.mean() >= 0.99  # recall
+    assert judged[judged.kept].quality.mean() >= 0.99  # precision
+    assert junk.kept.mean() <= 0.1
+
+
 def plain_components(rows):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
