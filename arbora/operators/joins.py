@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine, dirname, dotted_to_path, without_extension
 from ..model import PropertyGraph
-from ..plans.rewrites import interval_join, set_similarity_join
+from ..plans.rewrites import interval_join, near_vectors, set_similarity_join
 
 
 def named_edges(g: PropertyGraph) -> DataFrame:
@@ -187,21 +187,14 @@ def inherited_methods(mro: DataFrame, methods: DataFrame) -> DataFrame:
     return all_of.withColumn("k", F.row_number().over(w)).where("k = 1").select("class", "name", F.col("base").alias("defined_in"))
 
 
-def semantic_edges(vectors: DataFrame, least: float = 0.85, known: DataFrame | None = None, max_exact: int = 5000) -> DataFrame:
+def semantic_edges(vectors: DataFrame, least: float = 0.85, known: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity) of vectors (id, vector) with cosine >= least, a < b.
 
-    Up to max_exact vectors all pairs are compared exactly (one side broadcast,
-    its size checked); beyond that, pairs that share a bucket of sign keys. Pairs in known (src, dst), either way round, are left out.
+    All pairs are compared at every size, in blocks of bounded size. Pairs in known (src, dst), either way round, are left out.
     """
-    n = vectors.limit(max_exact + 1).count()
-    a = vectors.select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = vectors.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    if n <= max_exact:
-        both = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    else:
-        keys = lambda df, v: df.withColumn("k", F.explode(sign_keys(F.col(v), tables=16, bits=10)))
-        both = keys(a, "va").join(keys(b, "vb"), "k").where("a < b").drop("k").dropDuplicates(["a", "b"])
-    out = both.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+    both = near_vectors(vectors.select("id", "vector").where("id is not null"), None, least)
+    sim = both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), cosine(F.col("a_vector"), F.col("b_vector")).alias("similarity"))
+    out = sim.where(F.col("a") < F.col("b")).where(F.col("similarity") >= least)
     if known is not None:
         pairs = known.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
         out = out.join(pairs, ["a", "b"], "left_anti")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
 
+#: Pairs in a batch of near_vectors, and rows to a side of a tile.
+PAIR_ROWS, TILE_ROWS = 8192, 1024
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, bin_size: int = 64, innermost: bool = True) -> DataFrame:
     """Points joined with the intervals of the same keys that contain them.
@@ -66,3 +74,108 @@ def frontier_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, work: Works
             break
         seen = seen.unionByName(level)
     return seen
+
+
+def near_vectors(a: DataFrame, b: DataFrame | None, least: float, strict: bool = False, block_rows: int = 4096) -> DataFrame:
+    """Pairs of rows of a and b (of unordered rows of a, if b is None) whose ``vector`` columns may have cosine >= least.
+
+    Columns a_* and b_*. Rows are dealt by the hash of ``id`` to blocks of about
+    block_rows; every block meets every other in one group of a shuffle, where
+    one side is held and the other streamed against it. No pair is left out at
+    any size; a few under ``least`` by rounding stay, so the caller computes the
+    cosine of the pairs. strict: vectors of unequal lengths have cosine 0,
+    otherwise the longer one is cut.
+    """
+    alone = b is None
+
+    def blocks(df: DataFrame) -> int:
+        n = df.count()
+        return max(-(-n // block_rows), min(8, -(-n // 256)), 1)
+
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    ka = blocks(a)
+    others = F.sequence(F.lit(0), F.lit(ka - 1))
+    names = a.columns
+    if alone:
+        x = a.withColumn("_m", block(ka)).withColumn("_x", F.explode(others))
+        rows = x.select(F.least("_m", "_x").alias("_i"), F.greatest("_m", "_x").alias("_j"), (F.col("_m") > F.col("_x")).cast("int").alias("_s"), *names)
+    else:
+        kb = blocks(b)
+        left = a.withColumn("_i", block(ka)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(kb - 1)))).withColumn("_s", F.lit(0))
+        right = b.withColumn("_j", block(kb)).withColumn("_i", F.explode(others)).withColumn("_s", F.lit(1))
+        rows = left.select("_i", "_j", "_s", *names).unionByName(right.select("_i", "_j", "_s", *names))
+    rows = rows.repartition("_i", "_j").sortWithinPartitions("_i", "_j", "_s")
+    at = 3 + names.index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = [f"{side}_{c}" for side in "ab" for c in names]
+
+        def pairs(one: pa.RecordBatch, two: pa.RecordBatch, ones: list, twos: list, half: bool) -> Iterator[pa.RecordBatch]:
+            for i, j in _near_rows(ones, twos, least, strict, half):
+                for lo in range(0, len(i), PAIR_ROWS):
+                    p, q = pa.array(i[lo : lo + PAIR_ROWS]), pa.array(j[lo : lo + PAIR_ROWS])
+                    yield pa.RecordBatch.from_arrays([c.take(p) for c in one.columns[3:]] + [c.take(q) for c in two.columns[3:]], names=out)
+
+        key, held, whole, units = None, [], None, None
+        for batch in batches:
+            code = [batch.column(k).to_numpy() for k in range(3)]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1 if len(batch) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
+                if lo == hi:
+                    continue
+                part, (i, j, s) = batch.slice(lo, hi - lo), (int(c[lo]) for c in code)
+                if key != (i, j):
+                    if alone and key and key[0] == key[1] and held:
+                        whole = pa.concat_batches(held)
+                        units = _units(whole.column(at))
+                        yield from pairs(whole, whole, units, units, True)
+                    key, held, whole, units = (i, j), [], None, None
+                if s == 0:
+                    held.append(part)
+                elif held:
+                    if whole is None:
+                        whole = pa.concat_batches(held)
+                        units = _units(whole.column(at))
+                    yield from pairs(whole, part, units, _units(part.column(at)), False)
+        if alone and key and key[0] == key[1] and held:
+            whole = pa.concat_batches(held)
+            units = _units(whole.column(at))
+            yield from pairs(whole, whole, units, units, True)
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{side}_{c}` {kinds[c]}" for side in "ab" for c in names))
+
+
+def _units(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, their vectors) for each length; a null vector has length 0, a null element is NaN."""
+    column = column.cast(pa.list_(pa.float64()))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return [(int(n), r := np.flatnonzero(sizes == n), values[starts[r][:, None] + np.arange(n)]) for n in np.unique(sizes)]
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; 0 stays, and what double precision doesn't scale is NaN."""
+    with np.errstate(all="ignore"):
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        scale = np.where(norm == 0, 1, np.where((norm > 1e-150) & (norm < 1e150), norm, np.nan))
+        return (x / scale[:, None]).astype(np.float32)
+
+
+def _near_rows(ones: list, twos: list, least: float, strict: bool, half: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs that are not surely under least; half: of pairs i < j only. Tiles of TILE_ROWS squared."""
+    for n, i, x in ones:
+        for m, j, y in twos:
+            w = 0 if strict and n != m else min(n, m)
+            u, v = _unit_rows(x[:, :w]), _unit_rows(y[:, :w])
+            floor = np.float32(least - (w + 8) * 2.0**-22)
+            for lo in range(0, len(i), TILE_ROWS):
+                for at in range(0, len(j), TILE_ROWS):
+                    p, q = i[lo : lo + TILE_ROWS], j[at : at + TILE_ROWS]
+                    near = ~(u[lo : lo + TILE_ROWS] @ v[at : at + TILE_ROWS].T < floor)
+                    if half:
+                        near &= p[:, None] < q
+                    r, c = np.nonzero(near)
+                    if len(r):
+                        yield p[r], q[c]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from arbora.operators import clones as W
 from arbora.operators import community as G
 from arbora.operators import components as K
 from arbora.operators import filters as P
+from arbora.operators import joins as J
 from arbora.operators import motifs as M
 from arbora.operators import traverse as T
 from arbora.plans.phases import Phase, phase_order, run_phases
@@ -209,3 +211,29 @@ def test_phases():
     run_phases(once, known=known)
     run_phases(once, known=known)
     assert made.count("x") == 1
+
+
+def pair_cosines(x, y):
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    return unit(x) @ unit(y).T
+
+
+def test_semantic_edges_are_all_found(spark):
+    x = np.random.default_rng(3).normal(size=(5300, 12))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>").repartition(8)
+    got = {(r.a, r.b): r.similarity for r in J.semantic_edges(v, 0.8).collect()}
+    sim = pair_cosines(x, x)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim >= 0.8, 1)))}
+    assert want and got.keys() == want
+    assert all(abs(s - sim[p]) < 1e-12 for p, s in got.items())
+
+
+@pytest.mark.parametrize("least", [0.5, 0.0])
+def test_semantic_edges_of_odd_vectors(spark, least):
+    from arbora.functions.scalar import cosine
+
+    odd = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.0, 5.0], [], None, [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [1e200, 1e200], [float("inf"), 1.0], [1e-200, 0.0], [-1.0, 0.0]]
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id long, vector array<double>")
+    a, b = v.toDF("a", "va"), v.toDF("b", "vb")
+    plain = a.crossJoin(b).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")).where(F.col("s") >= least)
+    assert {(r.a, r.b, str(r.similarity)) for r in J.semantic_edges(v, least).collect()} == {(r.a, r.b, str(r.s)) for r in plain.collect()}
