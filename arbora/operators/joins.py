@@ -137,25 +137,16 @@ def match_topics(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     return p.join(c, "topic").where("producer_repo <> consumer_repo").distinct().withColumn("confidence", F.lit(0.8))
 
 
-def match_fuzzy(providers: DataFrame, consumers: DataFrame, linked: DataFrame, least: float = 0.7, max_side_rows: int = 20_000) -> DataFrame:
+def match_fuzzy(providers: DataFrame, consumers: DataFrame, linked: DataFrame, least: float = 0.7) -> DataFrame:
     """Still unlinked provider/consumer (id, repo, vector) with cosine >= least across repos.
 
     Only what is unmatched on both sides (linked: provider_id, consumer_id) is
-    compared. The smaller side is broadcast after a check of its size; beyond
-    max_side_rows candidates come from shared signs of random projections instead.
+    compared, all with all at every size, in blocks of bounded size.
     """
-    p = providers.join(linked.select(F.col("provider_id").alias("id")).distinct(), "id", "left_anti").toDF(*(f"p_{c}" for c in providers.columns))
-    c = consumers.join(linked.select(F.col("consumer_id").alias("id")).distinct(), "id", "left_anti").toDF(*(f"c_{c}" for c in consumers.columns))
-    small = c.limit(max_side_rows + 1).count() <= max_side_rows
-    both = p.crossJoin(F.broadcast(c)) if small else p.withColumn("k", F.explode(sign_keys(F.col("p_vector")))).join(c.withColumn("k", F.explode(sign_keys(F.col("c_vector")))), "k").drop("k").dropDuplicates(["p_id", "c_id"])
-    sim = both.where("p_repo <> c_repo").withColumn("similarity", cosine(F.col("p_vector"), F.col("c_vector"), strict=True)).where(F.col("similarity") >= least)
-    return sim.select(F.col("p_id").alias("provider_id"), F.col("c_id").alias("consumer_id"), "similarity", (F.floor(F.col("similarity") * 0.7 * 100 + 0.5) / 100).cast("double").alias("confidence"))
-
-
-def sign_keys(vector, tables: int = 8, bits: int = 6):
-    """Bucket keys: for each table the signs of ``bits`` pseudo-random projections."""
-    sign = lambda t, b: (F.aggregate(F.zip_with(vector, F.sequence(F.lit(0), F.size(vector) - 1), lambda x, i: x.cast("double") * (F.pmod(F.xxhash64(i, F.lit(t), F.lit(b)), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) > 0).cast("int")
-    return F.array(*(F.concat_ws(":", F.lit(str(t)), *(sign(t, b).cast("string") for b in range(bits))) for t in range(tables)))
+    unmatched = lambda df, side: df.select("id", "repo", "vector").join(linked.select(F.col(side).alias("id")).distinct(), "id", "left_anti")
+    both = near_vectors(unmatched(providers, "provider_id"), unmatched(consumers, "consumer_id"), least, strict=True)
+    sim = both.where("a_repo <> b_repo").withColumn("similarity", cosine(F.col("a_vector"), F.col("b_vector"), strict=True)).where(F.col("similarity") >= least)
+    return sim.select(F.col("a_id").alias("provider_id"), F.col("b_id").alias("consumer_id"), "similarity", (F.floor(F.col("similarity") * 0.7 * 100 + 0.5) / 100).cast("double").alias("confidence"))
 
 
 def cover_functions(coverage: DataFrame, functions: DataFrame) -> DataFrame:

@@ -237,3 +237,15 @@ def test_semantic_edges_of_odd_vectors(spark, least):
     a, b = v.toDF("a", "va"), v.toDF("b", "vb")
     plain = a.crossJoin(b).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s")).where(F.col("s") >= least)
     assert {(r.a, r.b, str(r.similarity)) for r in J.semantic_edges(v, least).collect()} == {(r.a, r.b, str(r.s)) for r in plain.collect()}
+
+
+def test_fuzzy_contracts_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 12)), rng.normal(size=(20_100, 12))
+    kinds = "id long, repo int, vector array<double>"
+    p = spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(x)], kinds)
+    c = spark.createDataFrame([(i, i % 4, r.tolist()) for i, r in enumerate(y)], kinds).repartition(8)
+    linked = spark.createDataFrame([(0, 1)], "provider_id long, consumer_id long")
+    got = {(r.provider_id, r.consumer_id) for r in J.match_fuzzy(p, c, linked, 0.6).collect()}
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(pair_cosines(x, y) >= 0.6)) if i % 3 != j % 4 and i != 0 and j != 1}
+    assert want and got == want
