@@ -69,8 +69,19 @@ def entropy_spans(run: bytes, threshold: float) -> list[tuple[int, int]]:
     return [tuple(s) for s in spans]
 
 
+def uncovered(text: bytes, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the sorted pattern spans leave of [a, b), except words before an assignment: the rest of its key's name."""
+    out = []
+    for s, k, e in base:
+        if s < b and a < e:
+            if a < s and not (k == 0 and ALLOWED[2].fullmatch(text, a, s)):
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, b)] if a < b else out
+
+
 def scan_bytes(text: bytes) -> list[tuple[int, int, int]]:
-    """(start, kind's place in KINDS, end) in bytes, sorted; entropy spans that touch a pattern's span are left out."""
+    """(start, kind's place in KINDS, end) in bytes, sorted; of an entropy span what no pattern's span covers."""
     found = []
     low = text.lower()
     if any(h in low for h in _ASSIGN_HINT):
@@ -84,9 +95,7 @@ def scan_bytes(text: bytes) -> list[tuple[int, int, int]]:
         if any(a.fullmatch(run) for a in ALLOWED) or (kind := _char_class(run)) is None:
             continue
         for a, b in entropy_spans(run, THRESHOLDS[kind]):
-            a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in base):
-                found.append((a, 3, b))
+            found += [(s, 3, e) for s, e in uncovered(text, a + m.start(), b + m.start(), base)]
     return sorted(found)
 
 
