@@ -369,12 +369,12 @@ def g11(spark, d):
     f"{WL}, s as (select src as id, list_sort(list(distinct label)) as s from e join w2 on dst = w2.id group by 1), g as (select w2.id, label, s from w2 join s on w2.id = s.id), k as (select *, row_number() over (partition by label order by id) - 1 as k, count(*) over (partition by label) as n from g), t as (select * from k where n <= 500 or k % ceil(n / 500)::bigint = 0), j as (select floor(10000 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) + 0.5) / 10000 as similarity from t a join t b on a.label = b.label and a.id < b.id) select count(*) filter (where similarity >= 0.95) as exact, count(*) filter (where similarity >= 0.8 and similarity < 0.95) as near, count(*) filter (where similarity >= 0.6 and similarity < 0.8) as potential from j",
 )
 def g11b(spark, d):
-    return W.similarity_buckets(W.clone_pairs(V.parts(spark, d)))
+    return W.similarity_buckets(W.clone_set_pairs(V.parts(spark, d)))
 
 
 @query("g11c_clone_clusters")
 def g11c(spark, d):
-    return W.clone_clusters(W.clone_pairs(V.parts(spark, d), 0.8), Workspace(spark, "clusters"))
+    return W.clone_clusters(W.clone_set_pairs(V.parts(spark, d), 0.8), Workspace(spark, "clusters"))
 
 
 @query(

@@ -18,6 +18,7 @@ from arbora.operators import motifs as M
 from arbora.operators import traverse as T
 from arbora.plans.phases import Phase, phase_order, run_phases
 from arbora.plans.rewrites import interval_join, set_similarity_join
+from arbora.storage import Workspace
 
 
 def graph(spark, pairs, more=(), kind="CALLS", confidence=1.0, label="Function"):
@@ -249,3 +250,35 @@ def test_fuzzy_contracts_are_all_found(spark):
     got = {(r.provider_id, r.consumer_id) for r in J.match_fuzzy(p, c, linked, 0.6).collect()}
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(pair_cosines(x, y) >= 0.6)) if i % 3 != j % 4 and i != 0 and j != 1}
     assert want and got == want
+
+
+def test_clones_of_a_large_group(spark):
+    g = graph(spark, [(f"f{i:03}", f"h{i:03}{k}") for i in range(600) for k in range(2)] + [("x1", "y1"), ("x2", "y2")])
+    whole = 600 * 599 // 2
+    assert W.clone_pairs(g).count() == whole + 1
+    assert W.similarity_buckets(W.clone_set_pairs(g)).first() == (whole + 1, 0, 0)
+    got = {tuple(r) for r in W.clone_clusters(W.clone_set_pairs(g, 0.8), Workspace(spark, "clusters")).collect()}
+    assert got == {("f000", 600, "f000", 1.0), ("x1", 2, "x1", 1.0)}
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_clone_sets_equal_plain_pairs(spark, monkeypatch, least):
+    sets = {f"v{i:02}": ("A" if i % 3 else "B", sorted(random.Random(i % 17).sample("klmnopq", 1 + i % 5))) for i in range(40)}
+    members = spark.createDataFrame([(i, *x) for i, x in sets.items()], "id string, label string, s array<string>")
+    monkeypatch.setattr(W, "_members", lambda g: members)
+    g = graph(spark, [("a", "b")])
+    alike = lambda x, y: int(len(x & y) / len(x | y) * 10000 + 0.5) / 10000
+    plain = {(a, b): alike(set(sets[a][1]), set(sets[b][1])) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0]}
+    plain = {p: s for p, s in plain.items() if s >= least}
+    assert {(r.a, r.b): r.similarity for r in W.clone_pairs(g, least).collect()} == plain
+    near = {a: {a} for p in plain for a in p}
+    for a, b in plain:
+        group = near[a] | near[b]
+        for x in group:
+            near[x] = group
+    want = set()
+    for group in {min(x): x for x in near.values()}.values():
+        inside = {p: round(s * 10000) for p, s in plain.items() if p[0] in group}
+        best = min(group, key=lambda x: (-sum(s for p, s in inside.items() if x in p), x))
+        want.add((min(group), len(group), best, int(sum(inside.values()) / len(inside) + 0.5) / 10000))
+    assert {tuple(r) for r in W.clone_clusters(W.clone_set_pairs(g, least), Workspace(spark, "clusters")).collect()} == want
