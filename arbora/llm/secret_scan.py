@@ -29,21 +29,25 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character over a window, by class of the whole run.
-THRESHOLDS = {"hex": 3.0, "base36": 3.6, "base64": 3.9}
+THRESHOLDS = {"hex": 3.0, "base36": 3.6, "base64": 3.9, "letters": 3.7}
 _CLOGC = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: Letters whose case is a word's: all capitals, or words joined by capitals, up to 5 of them before the first and after the last.
+_CASED = rb"(?:[A-Z]+|[A-Z]{0,5}[a-z]+(?:[A-Z][a-z]+)*[A-Z]{0,5})"
 #: Runs that are long for ordinary reasons.
 ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(rb"[0-9_+/=-]+"),  # numbers, dates, rules
-    re.compile(rb"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/=]*[0-9]{0,4}"),  # words, slugs, paths
+    re.compile(_CASED + rb"(?:[-_/]" + _CASED + rb")*[-_/=]*[0-9]{0,4}"),  # words, slugs, paths
 )
 
 
 def _char_class(run: bytes) -> str | None:
-    """The class whose threshold holds; None for runs with no mix of letters and digits."""
+    """The class whose threshold holds; None for runs with no mix of letters and digits or of cases."""
     digits = any(48 <= c < 58 for c in run)
     upper, lower = any(65 <= c < 91 for c in run), any(97 <= c < 123 for c in run)
-    if not digits or not (upper or lower):
+    if not digits:
+        return "letters" if upper and lower else None
+    if not (upper or lower):
         return None
     if all(48 <= c < 58 or 97 <= (c | 32) < 103 for c in run):
         return "hex"

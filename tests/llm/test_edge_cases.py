@@ -257,6 +257,16 @@ def test_secret_scan_beside_patterns(spark):
     assert not any(part in r.text for r in secret_scan.redact_secrets(df).collect() for part in (secret[:20], secret[10:30], "XyZkQ8"))
 
 
+def test_secret_scan_of_letters():
+    rng = random.Random(5)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    found = lambda text: [k for _, k, _ in secret_scan.scan_bytes(text.encode())]
+    for n, least in ((20, 0.85), (32, 0.95)):
+        assert sum(bool(found("".join(rng.choice(letters) for _ in range(n)))) for _ in range(400)) >= least * 400
+    for text in ("getElementsByClassNameAndAttribute", "Some/Path-of_Words/And/MORE/words2024", "thisisaverylongwordofletters", "ALLCAPITALSWITHOUTANYBREAKS", "parseHTML/XMLHttpRequestHandler"):
+        assert not found(text), text
+
+
 def test_decontaminate(spark, odd, none):
     rng = random.Random(11)
     item = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20))
