@@ -181,11 +181,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Co
     """
     key = F.col(f"`{id_col}`")
     rows = docs if usable is None else docs.where(usable)
-    rows = rows.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null")
-    # most rows leave by hash before their text is looked at; MARGIN times fit_docs stay of each language
+    rows = rows.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = rows.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    # most rows leave by hash before their windows are cut; MARGIN times fit_docs of those with letters stay of each language
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") < MARGIN * fit_docs).where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") < MARGIN * fit_docs)
     spot = lambda k: F.pmod(F.xxhash64(F.col("id"), k), F.greatest(F.lit(1), F.length("text") - (WIDTH - 1))) + 1
     windows = F.transform(F.sequence(F.lit(1), F.lit(FIT_WINDOWS)), lambda k: F.substring(F.col("text"), spot(k).cast("int"), F.lit(WIDTH)))
     rows = rows.select("id", "lang", windows.alias("windows"))

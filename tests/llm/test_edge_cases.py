@@ -228,6 +228,13 @@ def test_gru_gradients_match_differences():
         assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-4, (k, at)
 
 
+def test_lang_id_learns_from_rows_with_letters(spark):
+    texts = [(i, f"worte und sätze {i}" if i % 1000 == 7 else (None, "", "123 456")[i % 3], "de") for i in range(5000)]
+    texts += [(10_000 + i, f"words and phrases {i}", "en") for i in range(5)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert lang_id.train(docs, "doc_id", "text", "lang", fit_docs=5).languages == ["de", "en"]
+
+
 def test_secret_scan(spark, odd, none):
     texts = [
         "token: token: abcdefgh", 'é PASSWORD = "hunter2hunter2" x', "AKIA" + "A" * 15, "AKIA" + "B7" * 8, "0123456789abcdef01234567", "Secret=abc", "key aB3xK9mQ2vL7pR4tY8wZ end",
