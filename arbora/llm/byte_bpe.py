@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces up to so many bytes are remembered, at most CACHED of them per worker; likewise pairs.
-CACHED_BYTES, CACHED, CACHED_PAIRS = 48, 150_000, 200_000
+#: Pieces up to so many bytes are remembered, in two generations of at most CACHED each per worker; likewise pairs.
+CACHED_BYTES, CACHED, CACHED_PAIRS = 48, 300_000, 300_000
+_CLASS = regex.compile(r"\\p\{[A-Z][a-z]?\}|\\[sS]|\\.|\[\^?|\]|[^\\\[\]]+")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 
 
 def _merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges carried out one by one; only for the few bytes of a token pair."""
+    """The merges carried out one by one; only for the few bytes of a token."""
     parts = [word[i : i + 1] for i in range(len(word))]
     while len(parts) > 1:
         rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
@@ -39,6 +42,55 @@ def _merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+@lru_cache
+def _ranges(kind: str) -> str:
+    """The members of a character class below U+10000, as ranges of a bracket expression."""
+    spans: list[list[int]] = []
+    for c in map(ord, regex.findall(kind, "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))):
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+
+
+def _spelled_out(pattern: str) -> re.Pattern | None:
+    """The pattern for texts below U+10000 with its classes as bitmaps, which the standard engine tests faster; None if it has other escapes."""
+    out, inside = [], False
+    for part in _CLASS.findall(pattern):
+        if part.startswith("\\"):
+            if part == "\\S" and not inside:
+                part = f"[^{_ranges(r'\s')}]"
+            elif part == "\\s" or part.startswith("\\p"):
+                part = _ranges(part) if inside else f"[{_ranges(part)}]"
+            else:
+                return None
+        elif part[0] in "[]":
+            inside = part[0] == "["
+        out.append(part)
+    return re.compile("".join(out))
+
+
+class _Memo(dict):
+    """Values by key, made on first use; two generations, so that frequent keys outlive a full one."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        known = self.old.get(key)
+        if known is None:
+            known = self.make(key)
+            if len(key) > CACHED_BYTES:
+                return known
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = known
+        return known
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
@@ -47,35 +99,68 @@ class ByteBPE:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
+        self.sizes = list(map(len, self.bytes_of))
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.find = regex.compile(pattern).findall
+        fast = _spelled_out(pattern)
+        self.find_plain = fast.findall if fast else self.find
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.prefix = array("i", [-2]) * len(self.bytes_of)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    def reachable(self, i: int) -> bool:
-        """Whether the merges give this token for its own bytes."""
-        known = self.whole.get(i)
+        self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode())), CACHED)
+        self.pairs = _Memo(lambda pair: self.keeps_border(*pair), CACHED_PAIRS)
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.borders: tuple[dict[int, list], dict[int, list]] = {}, {}
+
+    def split(self, i: int) -> tuple[int, int]:
+        """The two tokens whose merge gives this one; (i, i) for a single byte, (-1, -1) if the merges never give it."""
+        known = self.halves.get(i)
         if known is None:
-            known = self.whole[i] = len(_merge(self.bytes_of[i], self.ranks)) == 1
+            token, known = self.bytes_of[i], (i, i)
+            if len(token) > 1:
+                # the merges of lower rank leave two parts, which this token's own merge joins
+                left = _merge(token, {t: r for n in range(len(token)) for m in range(n + 1, len(token) + 1) if (t := token[n:m]) != token and (r := self.ranks.get(t)) is not None and r < i})
+                known = tuple(map(self.ranks.__getitem__, left)) if len(left) == 2 else (-1, -1)
+            self.halves[i] = known
         return known
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges over both tokens' bytes give just these two tokens."""
-        known = self.pairs.get((a, b))
+    def border(self, i: int, side: int) -> list[tuple[int, int]]:
+        """The tokens at this token's left (0) or right (1) edge while its merges run, each with the rank that ends it, first one first."""
+        known = self.borders[side].get(i)
         if known is None:
-            left, right = self.bytes_of[a], self.bytes_of[b]
-            known = _merge(left + right, self.ranks) == [left, right]
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            self.pairs[a, b] = known
+            known, ends = [], 1 << 62
+            while True:
+                known.append((i, ends))
+                part = self.split(i)[side]
+                if part == i:
+                    break
+                ends, i = i, part
+            known.reverse()
+            self.borders[side][known[-1][0]] = known
         return known
 
+    def keeps_border(self, a: int, b: int) -> bool:
+        """Whether no merge ever joins the tokens at the border of a and b, replayed by rank.
+
+        Of equal ranks the leftmost goes first: one inside a precedes, one inside b follows the merge across.
+        """
+        left, right = self.border(a, 1), self.border(b, 0)
+        m = n = 0
+        ranks, bytes_of, none = self.ranks, self.bytes_of, 1 << 62
+        while True:
+            (x, x_ends), (y, y_ends) = left[m], right[n]
+            across = ranks.get(bytes_of[x] + bytes_of[y], none)
+            if across < x_ends and across <= y_ends and across != none:
+                return False
+            if x_ends == y_ends == none:
+                return True
+            if x_ends <= y_ends:
+                m += 1
+            else:
+                n += 1
+
     def shorter(self, i: int) -> int:
         """The longest token that is a proper prefix of this one; -1 if there is none."""
         known = self.prefix[i]
@@ -88,9 +173,9 @@ class ByteBPE:
             self.prefix[i] = known
         return known
 
-    def longest(self, piece: bytes) -> array:
+    def longest(self, piece: bytes) -> list[int]:
         """The longest token at each position; all others there are its prefixes."""
-        at = array("i", [-1]) * len(piece)
+        at = [-1] * len(piece)
         for end, (i, n) in self.automaton.iter(piece.decode("latin-1")):
             at[end + 1 - n] = i
         return at
@@ -99,13 +184,14 @@ class ByteBPE:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         at, size = self.longest(piece), len(piece)
+        sizes, pairs, split = self.sizes, self.pairs, self.split
         dead = bytearray(size + 1)
         out: list[int] = []
         pos, token = 0, at[0] if size else -1
         while pos < size:
             while token >= 0:
-                end = pos + len(self.bytes_of[token])
-                if not dead[end] and self.reachable(token) and (not out or self.compatible(out[-1], token)):
+                end = pos + sizes[token]
+                if not dead[end] and split(token)[0] >= 0 and (not out or pairs[out[-1], token]):
                     break
                 token = self.shorter(token)
             if token >= 0:
@@ -115,24 +201,15 @@ class ByteBPE:
             elif out:
                 dead[pos] = 1
                 token = out.pop()
-                pos -= len(self.bytes_of[token])
+                pos -= sizes[token]
                 token = self.shorter(token)
             else:
                 raise ValueError("the vocabulary lacks single bytes")
         return out
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        known = self.pieces.get(piece)
-        if known is None:
-            known = tuple(self.encode_piece(piece.encode()))
-            if len(piece) <= CACHED_BYTES:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece_ids, self.find(text))))
+        find = self.find_plain if text.isascii() or not _BEYOND.search(text) else self.find
+        return list(chain.from_iterable(map(self.pieces.__getitem__, find(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
