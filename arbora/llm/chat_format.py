@@ -9,8 +9,9 @@ Template, per turn::
     <|im_start|>ROLE \\n CONTENT <|im_end|> \\n
 
 Inside roles and texts a backslash becomes ``\\b`` and ``<|`` becomes ``<\\p``
-(a line feed in a role ``\\n``), so no text can form a control string and plain
-replacements read it back.
+(a line feed in a role ``\\n``), and plain replacements read it back. ``<|`` is
+replaced after a turn's texts are joined, while its attachments are still
+backslash codes, so no text can form a control string, wherever it is cut into parts.
 """
 
 from __future__ import annotations
@@ -41,14 +42,22 @@ def unescape_role(role: Column) -> Column:
 
 
 def _visit(part: Column) -> Column:
-    """Text parts as escaped text, known attachments as placeholders, unknown types as nothing."""
+    """Text parts with backslashes escaped, known attachments as a backslash and their first letter, unknown types as nothing."""
     kind = part["type"]
-    out = F.when(kind == "text", escape(F.coalesce(part["text"], F.lit(""))))
+    out = F.when(kind == "text", F.replace(F.coalesce(part["text"], F.lit("")), F.lit("\\"), F.lit("\\b")))
     for name in EXPANDED:
-        out = out.when(kind == name, F.lit(f"<|{name}|>"))
+        out = out.when(kind == name, F.lit("\\" + name[0]))
     return out.otherwise(F.lit(""))
 
 
+def _content(parts: Column) -> Column:
+    """A turn's texts and placeholders: joined first, then escaped, so no cut between parts hides a control string."""
+    out = F.replace(F.array_join(F.transform(parts, _visit), ""), F.lit("<|"), F.lit("<\\p"))
+    for name in EXPANDED:
+        out = F.replace(out, F.lit("\\" + name[0]), F.lit(f"<|{name}|>"))
+    return out
+
+
 def _attachment(part: Column) -> Column:
     tokens = F.when(part["type"] == "image", EXPANDED["image"]).when(part["type"] == "audio", EXPANDED["audio"]).otherwise(EXPANDED["document"])
     return F.struct(part["type"].alias("type"), part["ref"].alias("ref"), F.coalesce(part["tokens"], tokens.cast("bigint")).alias("tokens"))
@@ -62,26 +71,24 @@ def text_parts(text: Column) -> Column:
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: formatted, loss_spans, attachments, n_expanded_tokens.
 
-    Turns are ordered by (turn, role, parts); repeated rows stay repeated, null
-    turns come first, a null role is empty, null parts and unknown part types
-    are empty text. loss_spans are code point ranges [start, stop) of formatted,
-    one for each turn of trained_role, its content only. Rows without a
-    conversation id form one conversation of their own. Other columns are
-    ignored. A conversation is one value, so it meets in one task by nature.
+    Turns are ordered by (turn, role, parts as given); repeated rows stay
+    repeated, null turns come first, a null role is empty, null parts and unknown
+    part types are empty text. loss_spans are code point ranges [start, stop) of
+    formatted, one for each turn of trained_role, its content only. A row without
+    a conversation id is a conversation of its own, so such rows meet nowhere.
+    An empty table gives no rows; other columns are ignored, whatever their
+    names. A conversation is one value, so it meets in one task by nature.
     """
     col = lambda c: F.col(f"`{c}`")
     role = F.coalesce(col(role_col), F.lit(""))
     parts = F.coalesce(col(parts_col).cast(PARTS), F.array().cast(PARTS))
-    flat = turns.select(
-        col(conv_col).alias("conv"),
-        F.struct(
-            col(turn_col).alias("turn"),
-            role.alias("role"),
-            F.array_join(F.transform(parts, _visit), "").alias("content"),
-            F.transform(F.filter(parts, lambda p: p["type"].isin(*EXPANDED)), _attachment).alias("attached"),
-        ).alias("t"),
+    flat = turns.select(col(conv_col).alias("conv"), F.struct(col(turn_col).alias("turn"), role.alias("role"), parts.alias("parts")).alias("t"))
+    held = flat.where("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    lone = flat.where("conv is null").select("conv", F.array("t").alias("ts"))
+    visited = lambda t: F.struct(
+        t["turn"].alias("turn"), t["role"].alias("role"), _content(t["parts"]).alias("content"), F.transform(F.filter(t["parts"], lambda p: p["type"].isin(*EXPANDED)), _attachment).alias("attached")
     )
-    grouped = flat.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    grouped = held.unionByName(lone).select("conv", F.transform("ts", visited).alias("ts"))
     piece = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"), t["content"], F.lit(END + "\n"))
     lead = lambda t: F.length(escape_role(t["role"])) + len(START) + 1
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
