@@ -3,24 +3,31 @@
 The inverted index holds the test items; every passage of every training text
 is a query. Weights are divided by an item's score for itself, so one threshold
 fits all items: a passage is retrieved if it holds at least RETRIEVE of an
-item's BM25 weight. Retrieval is exact. As in block-max WAND, terms are taken
-from the longest posting list on while their maximal weights add up to less than
-the threshold; an item with only such terms cannot reach it, so only the other
-terms' postings open candidates. A candidate whose opened weight plus the
-block maxima of the skipped terms stays under the threshold is dropped unscored.
-All passages of a text block go through each step together.
+item's BM25 weight. Document frequencies, the mean and the greatest length come
+from all items, so no score depends on how the index is cut.
+
+Retrieval is exact. As in block-max WAND, a query's posting lists are walked by
+cursors in order of their current block; the pivot is the first at which the
+lists' maxima add up to the threshold, lists before it skip ahead to the pivot's
+block, and the block counts only if the maxima inside it reach the threshold
+too. Blocks nest (256 items, 8 items, one item): what passes at one level is
+walked again at the next, with the maxima of its block, and at the last level the
+sum is the score. All queries of a text block take each step together.
 
 A retrieved pair counts if the word triples of the item's question part and of
 its answer part (its last sentence) occur in the passage.
 
-Items are read in shards of bounded size; each shard's index is the only
-broadcast and every shard queries all texts.
+Index shards of bounded size are built in tasks and lie in the shared folder.
+One group of shards of bounded size at a time is broadcast and queried by all
+texts; the usual test set is one group, hence one pass.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blocks as B
+from .storage import Workspace
 
 RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
-K1, BM_B, BLOCK_ITEMS = 1.2, 0.75, 16
-#: Bytes of test items in one index.
-SHARD_BYTES = 8 << 20
+K1, BM_B = 1.2, 0.75
+#: Items in a block, from the widest level to the last one, where a block is an item.
+LEVELS = (256, 8, 1)
+#: Bytes of test items in one shard of the index, on average; bytes of shards that are broadcast together (one larger shard goes alone).
+SHARD_BYTES, GROUP_BYTES = 4 << 20, 64 << 20
 #: Bytes of text whose passages are queried together.
 QUERY_BYTES = 1 << 19
-#: Sums of (passages x items) up to so many are kept in one dense array.
-DENSE = 1 << 21
+#: Cursors of passages that are walked together below the widest level.
+CURSORS = 1 << 18
 #: Least words of a passage.
 LEAST_PASSAGE = 64
 OUTSIDE = np.ones(256, bool)
@@ -72,115 +82,125 @@ def split_item(text: str) -> tuple[np.ndarray, np.ndarray]:
     return parts[0][:cut], parts[0][cut:]
 
 
+class Level:
+    """Posting lists by block: the block and greatest weight of each entry, by term, then block."""
+
+    def __init__(self, term: np.ndarray, item: np.ndarray, weight: np.ndarray, width: int, n_terms: int, n_items: int):
+        self.width, self.blocks = width, max(1, -(-n_items // width))
+        self.key, at = np.unique(term * self.blocks + item // width, return_inverse=True)
+        self.top = np.zeros(len(self.key))
+        np.maximum.at(self.top, at, weight)
+        self.block = self.key % self.blocks
+        self.first = np.searchsorted(self.key, np.arange(n_terms + 1) * self.blocks)
+
+    def walk(self, query: np.ndarray, term: np.ndarray, pos: np.ndarray, end: np.ndarray, top: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, block, bound) of all blocks whose maxima add up to least.
+
+        Each cursor is an entry range [pos, end) of a term's list and the list's maximum there; cursors are ordered by query.
+        """
+        found = []
+        live = pos < end
+        query, term, pos, end, top = query[live], term[live], pos[live].copy(), end[live], top[live]
+        while len(query):
+            block = self.block[pos]
+            order = np.argsort(query * np.int64(self.blocks) + block, kind="stable")
+            query, term, pos, end, top, block = query[order], term[order], pos[order], end[order], top[order], block[order]
+            first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+            size = np.diff(np.append(first, len(query)))
+            run = np.cumsum(top)
+            run -= np.repeat(run[first] - top[first], size)
+            under = np.add.reduceat((run < least).astype(np.int64), first)
+            alive = under < size
+            pivot = np.where(alive, block[np.minimum(first + under, len(query) - 1)], -1)
+            goal = np.repeat(pivot, size)
+            late = np.flatnonzero(block < goal)
+            if len(late):
+                pos[late] = np.searchsorted(self.key, term[late] * self.blocks + goal[late])
+                block[late] = np.where(pos[late] < end[late], self.block[np.minimum(pos[late], len(self.block) - 1)], self.blocks)
+            there = block == goal
+            bound = np.add.reduceat(np.where(there, self.top[np.minimum(pos, len(self.top) - 1)], 0.0), first)
+            good = alive & (bound >= least)
+            found.append((query[first[good]], pivot[good], bound[good]))
+            pos += there
+            live = np.repeat(alive, size) & (pos < end)
+            query, term, pos, end, top = query[live], term[live], pos[live], end[live], top[live]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+class Statistics:
+    """Of all items with words: their number, mean and greatest length, and document frequencies by sorted term."""
+
+    def __init__(self, n: int, mean: float, longest: int, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.longest, self.terms, self.df = n, mean, longest, terms, df
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        tokens = [t for t in map(_tokens, texts) if len(t)]
+        terms, df = np.unique(np.concatenate([np.unique(t) for t in tokens]), return_counts=True) if tokens else (np.zeros(0, B.U64), np.zeros(0, np.int64))
+        return cls(len(tokens), float(np.mean([len(t) for t in tokens])) if tokens else 1.0, max(map(len, tokens), default=1), terms, df)
+
+
 class Index:
-    """Inverted index with normalised BM25 weights and block maxima."""
+    """Inverted index of some items with normalised BM25 weights and block maxima; items lie in order of length."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], known: Statistics | None = None):
+        known = known or Statistics.of(texts)
         tokens = [_tokens(t) for t in texts]
-        some = [i for i, t in enumerate(tokens) if len(t)]
+        some = sorted((i for i, t in enumerate(tokens) if len(t)), key=lambda i: len(tokens[i]))
         self.ids = [ids[i] for i in some]
         tokens = [tokens[i] for i in some]
         sides = [split_item(texts[i]) for i in some]
         self.grams = [(_grams(q), _grams(a)) for q, a in sides]
         self.widths = [(max(1, min(3, len(q))), max(1, min(3, len(a)))) for q, a in sides]
         n = len(tokens)
-        self.longest = max(map(len, tokens), default=1)
+        self.longest = known.longest
         sizes = np.array([len(t) for t in tokens], float)
         each = [np.unique(t, return_counts=True) for t in tokens]
         self.vocabulary = np.unique(np.concatenate(tokens)) if n else np.zeros(0, B.U64)
-        term = np.concatenate([np.searchsorted(self.vocabulary, u) for u, _ in each]) if n else np.zeros(0, np.int64)
-        item = np.repeat(np.arange(n), [len(u) for u, _ in each])
+        self.term = np.concatenate([np.searchsorted(self.vocabulary, u) for u, _ in each]) if n else np.zeros(0, np.int64)
+        self.item = np.repeat(np.arange(n), [len(u) for u, _ in each])
         tf = np.concatenate([c for _, c in each]).astype(float) if n else np.zeros(0)
-        df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = K1 * (1 - BM_B + BM_B * sizes / (sizes.mean() if n else 1))
-        weight = idf[term] * tf * (K1 + 1) / (tf + length[item])
-        weight /= np.bincount(item, weight, minlength=n)[item]
-        order = np.lexsort((item, term))
-        self.item, self.weight, self.df = item[order], weight[order], df
-        self.first = np.concatenate([[0], np.cumsum(df)])
+        df = known.df[np.searchsorted(known.terms, self.vocabulary)].astype(float)
+        idf = np.log1p((known.n - df + 0.5) / (df + 0.5))
+        weight = idf[self.term] * tf * (K1 + 1) / (tf + (K1 * (1 - BM_B + BM_B * sizes / known.mean))[self.item])
+        self.weight = weight / np.bincount(self.item, weight, minlength=n)[self.item]
         self.top = np.zeros(len(df))
-        np.maximum.at(self.top, term, weight)
-        key, at = np.unique(term[order] * self.blocks + self.item // BLOCK_ITEMS, return_inverse=True)
-        self.block_key, self.block_top = key, np.zeros(len(key))
-        np.maximum.at(self.block_top, at, self.weight)
-
-    @property
-    def blocks(self) -> int:
-        return max(1, -(-len(self.ids) // BLOCK_ITEMS))
-
-    def block_max(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
-        key = term * self.blocks + block
-        at = np.minimum(np.searchsorted(self.block_key, key), max(len(self.block_key) - 1, 0))
-        return np.where(self.block_key[at] == key, self.block_top[at], 0.0)
-
-    def exact(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Weights of (term, item) pairs; 0 where there is no posting."""
-        key = term * len(self.ids) + item
-        own = self._pairs()
-        at = np.minimum(np.searchsorted(own, key), len(own) - 1)
-        return np.where(own[at] == key, self.weight[at], 0.0)
-
-    def _pairs(self) -> np.ndarray:
-        if not hasattr(self, "_own"):
-            self._own = np.repeat(np.arange(len(self.df)), self.df) * len(self.ids) + self.item
-        return self._own
-
-    def retrieve(self, query: np.ndarray, term: np.ndarray, n_queries: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        np.maximum.at(self.top, self.term, self.weight)
+        self.levels = [Level(self.term, self.item, self.weight, width, len(df), n) for width in LEVELS]
+
+    def retrieve(self, query: np.ndarray, term: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) of all pairs that reach least.
 
         query and term list every query's distinct terms, ordered by query.
         """
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if not len(term) or not self.ids:
-            return none
-        # queries that cannot reach the threshold with all their terms
-        bound = np.bincount(query, self.top[term], minlength=n_queries)
-        live = bound[query] >= least
-        query, term = query[live], term[live]
-        if not len(term):
-            return none
-        # from the longest list on, skip terms while their maxima stay under the threshold
-        order = np.lexsort((-self.df[term], query))
-        query, term = query[order], term[order]
-        start = np.concatenate([[0], np.cumsum(np.bincount(query, minlength=n_queries))])
-        run = np.cumsum(self.top[term])
-        before = np.concatenate([[0.0], run])[start[query]]
-        skipped = run - before < least * (1 - 1e-9)
-        # open the other terms' lists
-        q, t = query[~skipped], term[~skipped]
-        if not len(t):
-            return none
-        sizes = self.df[t]
-        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        post = np.repeat(self.first[t], sizes) + inner
-        pair = np.repeat(q, sizes) * len(self.ids) + self.item[post]
-        if n_queries * len(self.ids) <= DENSE:
-            sums = np.bincount(pair, self.weight[post], minlength=n_queries * len(self.ids))
-            pairs = np.flatnonzero(sums)
-            opened = sums[pairs]
-        else:
-            pairs, at = np.unique(pair, return_inverse=True)
-            opened = np.bincount(at, self.weight[post])
-        cq, ci = pairs // len(self.ids), pairs % len(self.ids)
-        rest = np.bincount(query, np.where(skipped, self.top[term], 0.0), minlength=n_queries)
-        near = opened + rest[cq] >= least * (1 - 1e-9)
-        cq, ci, opened = cq[near], ci[near], opened[near]
-        if not len(cq):
-            return none
-        # block maxima of the skipped terms, then their exact weights
-        n_skipped = np.bincount(query, skipped, minlength=n_queries).astype(np.int64)
-        for refine in (lambda t, i: self.block_max(t, i // BLOCK_ITEMS), self.exact):
-            sizes = n_skipped[cq]
-            owner = np.repeat(np.arange(len(cq)), sizes)
-            inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            terms = term[start[cq][owner] + inner]
-            score = opened + np.bincount(owner, refine(terms, ci[owner]), minlength=len(cq))
-            good = score >= least * (1 - 1e-9)
-            cq, ci, opened, score = cq[good], ci[good], opened[good], score[good]
-            if not len(cq):
-                return none
-        return cq, ci, score
+        least *= 1 - 1e-9
+        wide = self.levels[0]
+        owner, block, score = wide.walk(query, term, wide.first[term], wide.first[term + 1], self.top[term], least)
+        start = np.searchsorted(query, np.arange(query[-1] + 2 if len(query) else 1))
+        for up, level in zip(self.levels, self.levels[1:]):
+            parts = []
+            sizes = start[owner + 1] - start[owner]
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CURSORS, prepend=-1))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(owner))):
+                # every surviving block is a query of its own, with the cursors that have an entry in it
+                n = sizes[lo:hi]
+                part = np.repeat(np.arange(lo, hi), n)
+                t = term[np.repeat(start[owner[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                b = block[part]
+                at = np.minimum(np.searchsorted(up.key, t * up.blocks + b), len(up.key) - 1)
+                here = up.key[at] == t * up.blocks + b
+                part, t, b, at = part[here], t[here], b[here], at[here]
+                share = up.width // level.width
+                pos = np.searchsorted(level.key, t * level.blocks + b * share)
+                end = np.searchsorted(level.key, t * level.blocks + np.minimum((b + 1) * share, level.blocks))
+                parts.append(level.walk(part, t, pos, end, up.top[at], least))
+            if not parts:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            who, block, score = map(np.concatenate, zip(*parts))
+            owner = owner[who]
+        return owner, block, score
 
     def passages(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, first and last word of windows so that every run as long as the longest item lies in one."""
@@ -207,7 +227,7 @@ class Index:
         query = np.repeat(np.arange(len(lo)), n)
         keep = known[word]
         key = np.unique(query[keep] * len(self.vocabulary) + at[word[keep]])
-        q, i, score = self.retrieve(key // len(self.vocabulary), key % len(self.vocabulary), len(lo), least)
+        q, i, score = self.retrieve(key // len(self.vocabulary), key % len(self.vocabulary), least)
         for passage, item, s in zip(q.tolist(), i.tolist(), score.tolist()):
             text = hashes[lo[passage] : hi[passage]]
             overlaps = []
@@ -218,69 +238,142 @@ class Index:
                 own = np.unique(B.windows(text, np.array([0, len(text)]), width_of, seed=40 + width_of)[0])
                 overlaps.append(float(np.isin(part, own).mean()))
             if overlaps[0] >= question and overlaps[1] >= answer:
-                best = (s, *overlaps)
+                best = (round(s, 9), *overlaps)
                 where = (int(row[passage]), item)
                 out[where] = max(out.get(where, best), best)
         return out
 
 
-def item_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """Indexes over the items, each of at most shard_bytes of text (or one longer item)."""
-    ids, texts, size = [], [], 0
-    rows = items.select(F.col(f"`{id_col}`").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).orderBy("i", "t")
-    for r in rows.toLocalIterator():
-        more = len(r.t.encode())
-        if texts and size + more > shard_bytes:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(r.i)
-        texts.append(r.t)
-        size += more
-    yield Index(ids, texts)
+def index_groups(items: DataFrame, work: Workspace, id_col: str = "item_id", text_col: str = "text", shard_bytes: int | None = None, group_bytes: int | None = None) -> Iterator[list[bytes]]:
+    """Groups of pickled Index shards over the items with words; equal rows count once.
+
+    Statistics of all items and the shards are tables in the shared folder; the driver
+    holds one group, of at most group_bytes or one larger shard.
+    """
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [_tokens(t.as_py()) for t in batch.column(1)]
+            terms = pa.array([np.unique(t).view(np.int64) for t in tokens], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(t) for t in tokens], pa.int64()), terms], names=["id", "text", "n_words", "terms"])
+
+    rows = items.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).distinct()
+    kind = rows.schema["id"].dataType.simpleString()
+    held = work.save(rows.mapInArrow(tokenize, f"id {kind}, text string, n_words long, terms array<bigint>").where("n_words > 0"), "items")
+    total = held.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"), F.max("n_words").alias("longest"), F.sum(F.octet_length("text")).alias("size")).first()
+    if not total.n:
+        return
+    shards = -(-total.size // (shard_bytes or SHARD_BYTES))
+    held = held.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    known = held.select(F.col("shard").alias("part"), F.explode("terms").alias("term")).distinct().join(df, "term").select("part", "term", "df")
+
+    def build(rows: pa.Table, terms: pa.Table) -> pa.Table:
+        values = terms.column("term").to_numpy().view(B.U64)
+        order = np.argsort(values)
+        stats = Statistics(total.n, total.mean, total.longest, values[order], terms.column("df").to_numpy()[order])
+        pairs = sorted(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist()), key=lambda p: (p[1], str(p[0])))
+        blob = pickle.dumps(Index([p[0] for p in pairs], [p[1] for p in pairs], stats), protocol=5)
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    made = held.select("shard", "id", "text").groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(build, "shard long, size long, blob binary")
+    made = work.save(made, "shards")
+    work.drop("items")
+    group, size = [], 0
+    for r in made.select("shard", "size").orderBy("shard").collect():
+        if group and size + r.size > (group_bytes or GROUP_BYTES):
+            yield [x.blob for x in made.where(F.col("shard").isin(group)).select("blob").collect()]
+            group, size = [], 0
+        group.append(r.shard)
+        size += r.size
+    yield [x.blob for x in made.where(F.col("shard").isin(group)).select("blob").collect()]
+
+
+_opened: dict[str, list[Index]] = {}
+
+
+def _open(name: str, blobs) -> list[Index]:
+    """The group's indexes, unpickled once per worker; an earlier group makes room."""
+    if name not in _opened:
+        _opened.clear()
+        _opened[name] = [pickle.loads(b) for b in blobs.value]
+    return _opened[name]
+
+
+def _passes(docs: DataFrame, items: DataFrame, work: Workspace, item_id: str, item_text: str) -> Iterator[Callable[[], list[Index]]]:
+    """For each group of shards what opens it inside a task."""
+    for group in index_groups(items, work, item_id, item_text):
+        blobs, name = docs.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex
+        yield lambda blobs=blobs, name=name: _open(name, blobs)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", retrieve: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
     """One row per input row and test item it leaks: id, item_id, score, question_overlap, answer_overlap.
 
-    Null and empty texts and items never match; repeated rows repeat their
-    hits; equal scores of passages are settled by the overlaps; other columns
-    are ignored; empty tables give no hits.
+    Null and empty texts and items never match; repeated rows of docs repeat
+    their hits, repeated rows of items count once; equal scores of passages are
+    settled by the overlaps; null ids stay null; other columns are ignored, whatever
+    their names; empty tables give no hits.
     """
+    work = Workspace(docs.sparkSession, "leaks")
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("k0"))
     kinds = source.schema["k0"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    names = ["k0", "k1", "score", "question_overlap", "answer_overlap"]
+    schema = f"k0 {kinds[0]}, k1 {kinds[1]}, score double, question_overlap double, answer_overlap double"
     item_type = to_arrow_type(items.schema[item_id].dataType)
-    out = None
-    for index in item_shards(items, item_id, item_text):
 
-        def find(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def search(opened: Callable[[], list[Index]]) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in B.text_blocks(batch.column(0), QUERY_BYTES):
-                    hits = sorted(index.hits(block, retrieve, question, answer).items())
+                    hits = [(r, index.ids[i], v) for index in opened() for (r, i), v in sorted(index.hits(block, retrieve, question, answer).items())]
                     if hits:
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(1).take(pa.array([block.lo + r for (r, _), _ in hits])), pa.array([index.ids[i] for (_, i), _ in hits], item_type), *(pa.array([v[k] for _, v in hits]) for k in range(3))],
-                            names=["k0", "k1", "score", "question_overlap", "answer_overlap"],
-                        )
-
-        part = source.mapInArrow(find, f"k0 {kinds[0]}, k1 {kinds[1]}, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
-    return out.toDF(id_col, item_id, "score", "question_overlap", "answer_overlap")
+                        rows = batch.column(1).take(pa.array([block.lo + r for r, _, _ in hits]))
+                        yield pa.RecordBatch.from_arrays([rows, pa.array([i for _, i, _ in hits], item_type), *(pa.array([v[k] for _, _, v in hits]) for k in range(3))], names=names)
+
+        return source.mapInArrow(find, schema)
+
+    out, saved = None, 0
+    for opened in _passes(docs, items, work, item_id, item_text):
+        if out is not None:
+            # beyond one group every group's hits are a table, so the driver holds one group at a time
+            saved += 1
+            out = work.save(out, f"hits-{saved}") if saved == 1 else out
+            out = out.unionByName(work.save(search(opened), f"hits-{saved + 1}"))
+        else:
+            out = search(opened)
+    work.drop_all_but(*(t for t in work.tables if t.startswith("hits-")))
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    return out.toDF(id_col, item_id, *names[2:])
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that leak a test item; no row moves between tasks."""
+    """The rows of docs, all columns, without those that leak a test item; no row moves between tasks.
+
+    Rows with null or empty text stay, repeated rows stay or go together. Beyond
+    one group of index shards, what each group leaves is written and reread.
+    """
+    work = Workspace(docs.sparkSession, "clean")
     names = docs.columns
     at = names.index(text_col)
     out = docs.toDF(*(f"c{i}" for i in range(len(names))))
     schema = out.schema
-    for index in item_shards(items, item_id, item_text):
 
-        def keep(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def sift(rows: DataFrame, opened: Callable[[], list[Index]]) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in B.text_blocks(batch.column(at), QUERY_BYTES):
                     good = np.ones(len(block), bool)
-                    good[[r for r, _ in index.hits(block)]] = False
+                    for index in opened():
+                        good[[r for r, _ in index.hits(block)]] = False
                     yield batch.slice(block.lo, len(block)).filter(pa.array(good))
 
-        out = out.mapInArrow(keep, schema)
+        return rows.mapInArrow(keep, schema)
+
+    for k, opened in enumerate(_passes(docs, items, work, item_id, item_text)):
+        out = sift(work.save(out, f"left-{k}") if k else out, opened)
+        if k > 1:
+            work.drop(f"left-{k - 1}")
+    work.drop_all_but(*(t for t in work.tables if t.startswith("left-")))
     return out.toDF(*names)
