@@ -7,9 +7,11 @@ active nested rules is constant. A sorted sweep over bounds and urls together
 hands every url the stack at its position; the longest rule whose path starts
 the url's path decides.
 
-Only DataFrame functions run. Urls are dealt to lanes by a hash of the row, not
-by host, and every lane sweeps its own copy of the bounds, so a host with a
-third of all rows spreads evenly. The copies cost (rules x lanes) small rows.
+Only DataFrame functions run. The sweep is cut at the hosts' last two labels: a
+range of keys holds its own urls and bounds, and one bound for the rules of its
+last label alone. A range with more than an even share of the urls is dealt to
+lanes by row hash, and only its bounds are copied, so neither a hot host nor a
+long list of rules grows with the number of lanes.
 """
 
 from __future__ import annotations
@@ -40,16 +42,20 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _bounds(rules: DataFrame) -> DataFrame:
-    """(key, stack): the rules active from this key up to the next bound."""
+def key_range(key: Column) -> Column:
+    """The last two labels of a host, from its key: the part of the sweep that it belongs to."""
+    return F.substring_index(key, ".", 2)
+
+
+def _bounds(rules: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(range, key, stack): the rules active from this key up to the range's next bound, for the given ranges."""
     rules = rules.select(
         F.translate(F.col("host"), _UPPER, _LOWER).alias("host"),
         F.coalesce("path", F.lit("")).alias("path"),
         F.col("verdict").cast("string").alias("verdict"),
     ).where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
-    own = rules.groupBy("host").agg(
-        F.collect_set(F.struct(F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), "path", "verdict")).alias("stack")
-    )
+    text = F.concat("host", "path")
+    own = rules.groupBy("host").agg(F.collect_set(F.struct(F.length(text).alias("size"), text.alias("rule"), "path", "verdict")).alias("stack"))
     labels = F.split("host", r"\.")
     inside = own.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("up", "ancestor"))
     held = inside.join(own.select(F.col("host").alias("ancestor"), "stack"), "ancestor")
@@ -60,7 +66,10 @@ def _bounds(rules: DataFrame) -> DataFrame:
     key = host_key(F.col("host"))
     opens = stacks.select(key.alias("key"), F.col("opened").alias("stack"))
     closes = stacks.select(F.concat(F.regexp_replace(key, r"\.$", ""), F.lit("/")).alias("key"), F.col("closed").alias("stack"))
-    return opens.unionByName(closes)
+    narrow = opens.unionByName(closes).withColumn("range", F.substring_index(F.regexp_replace("key", "/$", "."), ".", 2)).where(F.instr(F.col("range"), ".") < F.length("range"))
+    broad = own.where(F.instr("host", ".") == 0).select(F.col("host").alias("last"), "stack")
+    first = ranges.select("range", F.substring_index("range", ".", 1).alias("last")).join(broad, "last").select("range", F.concat("last", F.lit(".")).alias("key"), "stack")
+    return narrow.join(ranges.select("range"), "range", "left_semi").select("range", "key", "stack").unionByName(first)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", lanes: int | None = None) -> DataFrame:
@@ -70,18 +79,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     greater text, then ``block`` over ``allow``. A url that is null or has no
     ``://`` has empty host and path and the default verdict, as has any url
     that no rule fits. Repeated rows stay; other columns are ignored, whatever
-    their names; empty tables give empty results (empty rules: all default).
+    their names; empty tables give empty results (empty rules: all default). Should
+    id_col bear the name of a result column, that column is prefixed ``url_``.
+    A range of the sweep is split where it has more than 1 of lanes shares of
+    the urls; at most lanes ranges have, so their table is safe to broadcast.
     """
     spark = pages.sparkSession
     lanes = lanes or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     url = F.col(f"`{url_col}`")
     urls = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(url_host(url), F.lit("")).alias("host"), F.coalesce(url_path(url), F.lit("")).alias("path"), F.coalesce(url, F.lit("")).alias("u"))
-    urls = urls.select("id", "host", "path", host_key(F.col("host")).alias("key"), F.pmod(F.xxhash64("id", "u"), F.lit(lanes)).cast("int").alias("lane"))
-    bounds = _bounds(rules).select("key", "stack", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("range", key_range(F.col("key")))
+    ranges = urls.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    split = ranges.crossJoin(F.broadcast(urls.agg(F.count(F.lit(1)).alias("total")))).withColumn("parts", F.ceil(F.col("n") * lanes / F.col("total")).cast("int")).where("parts > 1").select("range", "parts")
+    parts = F.coalesce("parts", F.lit(1))
+    urls = urls.join(F.broadcast(split), "range", "left").select("id", "host", "path", "key", "range", F.pmod(F.xxhash64("id", "u"), parts).cast("int").alias("lane"))
+    bounds = _bounds(rules, ranges).join(F.broadcast(split), "range", "left").select("range", "key", "stack", F.explode(F.sequence(F.lit(0), parts - 1)).alias("lane"))
     events = urls.withColumn("is_url", F.lit(1)).unionByName(bounds.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
-    sweep = Window.partitionBy("lane").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("range", "lane").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
     fits = F.array_max(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])))
+    own = lambda name: f"url_{name}" if name == id_col else name
     return swept.withColumn("hit", fits).select(
-        F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict")
+        F.col("id").alias(id_col), F.col("host").alias(own("host")), F.col("path").alias(own("path")), F.col("hit.rule").alias(own("rule")), F.coalesce("hit.verdict", F.lit(default)).alias(own("verdict"))
     )
