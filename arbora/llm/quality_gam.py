@@ -210,18 +210,23 @@ def row_hash(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
+def _sample(labels: DataFrame, key: Column, label_col: str, usable: Column | None, fit_rows: int) -> DataFrame:
+    """(id, y) of the fit_rows labelled ids with the smallest hash; of several labels for an id the smallest."""
+    rows = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    if usable is not None:
+        rows = rows.where(usable)
+    return rows.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+
+
 def train(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, usable: Column | None = None, fit_rows: int = FIT_ROWS) -> AdditiveModel:
-    """Fits on at most fit_rows labelled rows: those with the smallest hash of their id.
+    """Fits on at most fit_rows labelled ids: those with the smallest hash.
 
     The sampled ids and labels are fit_rows rows at most, hence safe to broadcast.
-    Of several labels for an id, the smallest counts.
+    Of several rows of an id, the smallest features count, so at most fit_rows
+    rows reach the driver and the model does not depend on how the table lies.
     """
-    key = F.col(f"`{id_col}`")
-    rows = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    if usable is not None:
-        rows = rows.where(usable)
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows).groupBy("id").agg(F.min("y").alias("y"))
-    got = features.join(F.broadcast(rows), "id").select("id", "y", "features").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
+    rows = _sample(labels, F.col(f"`{id_col}`"), label_col, usable, fit_rows)
+    got = features.join(F.broadcast(rows), "id").groupBy("id").agg(F.min("y").alias("y"), F.min("features").alias("features")).toPandas().sort_values("id", kind="stable")
     x = np.array(got.features.tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got.y.to_numpy(float))
 
@@ -254,15 +259,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, least: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs, all columns, whose score reaches least; no text moves between tasks.
 
+    Null texts count as empty; repeated rows stay or go together; rows without an
+    id are judged, but never learnt from; an empty table gives an empty one, and
+    without labels of both kinds every score is the labels' smoothed share of 1.
     Only the sampled labelled rows' features are computed for fitting (their ids
     are at most fit_rows, hence broadcast); every row is then scored where it lies.
     """
     key = F.col(f"`{id_col}`")
-    rows = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    if usable is not None:
-        rows = rows.where(usable)
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
-    some = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(rows.select("id").distinct()), "id", "left_semi")
+    rows = _sample(labels, key, label_col, usable, fit_rows)
+    some = docs.select(key.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(rows.select("id")), "id", "left_semi")
     model = train(featurize(some, "id", "text"), labels, id_col, label_col, usable, fit_rows)
     names = docs.columns
     at = names.index(text_col)
