@@ -19,15 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .storage import Workspace
 
 UNKNOWN = "und"
 WIDTH, HIDDEN, STEPS, BATCH, SEED = 48, 8, 700, 192, 5
-#: Documents learnt from, per language; and windows from each.
-FIT_DOCS, FIT_WINDOWS = 400, 3
-#: The most frequent languages are learnt, so many at most; rows drawn before the last choice, as a multiple.
-MAX_LANGUAGES, MARGIN = 10_000, 4
-#: Windows that are labelled together.
-LABEL_ROWS = 8192
+#: Documents learnt from: per language, and of all languages together (one at least of each); and windows from each.
+FIT_DOCS, FIT_TOTAL, FIT_WINDOWS = 400, 20_000, 3
+#: Of so many most frequent languages most rows leave before the choice; MARGIN times the rows wanted stay.
+THINNED, MARGIN = 1_000, 4
+#: Probabilities held at once while windows are labelled.
+LABEL_FLOATS = 1 << 21
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -155,15 +156,16 @@ def document_probabilities(model: BiGRU, block: B.Block) -> np.ndarray:
     start = block.offsets[:-1][row] + inner * WIDTH
     length = np.minimum(WIDTH, block.offsets[1:][row] - start)
     ramp = np.arange(WIDTH)
-    for lo in range(0, len(row), LABEL_ROWS):
-        s, n = start[lo : lo + LABEL_ROWS], length[lo : lo + LABEL_ROWS]
+    at_once = min(8192, max(1, LABEL_FLOATS // (WIDTH * max(k, 1))))
+    for lo in range(0, len(row), at_once):
+        s, n = start[lo : lo + at_once], length[lo : lo + at_once]
         inside = ramp[:, None] < n
         codes = np.where(inside, block.data[np.minimum(s + ramp[:, None], len(block.data) - 1)], np.uint8(32))
         prob = model.position_probabilities(codes)
         prob *= inside[:, :, None]
         window = prob.sum(0)
         for j in range(k):
-            total[:, j] += np.bincount(row[lo : lo + LABEL_ROWS], window[:, j], minlength=len(block))
+            total[:, j] += np.bincount(row[lo : lo + at_once], window[:, j], minlength=len(block))
     return np.where(sizes[:, None] > 0, total / np.maximum(sizes, 1)[:, None], 1 / max(k, 1))
 
 
@@ -173,25 +175,32 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column | None = None, fit_docs: int = FIT_DOCS) -> BiGRU:
-    """Fits on at most fit_docs documents of each language, those with the smallest hash of their id.
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column | None = None, fit_docs: int = FIT_DOCS, fit_total: int = FIT_TOTAL) -> BiGRU:
+    """Fits on a bounded sample: of each language the documents with the smallest hash of their id.
 
-    Rows without text, letters or language are not learnt from. FIT_WINDOWS
-    windows of each document, at places that its id's hash picks, reach the driver.
+    fit_docs of each language are taken, less where the languages would exceed
+    fit_total together, but one at least. Rows without id, text, letters or
+    language are not learnt from; of several rows of an id in a language the
+    smallest windows count. FIT_WINDOWS windows of each document, at places that
+    its id's hash picks, reach the driver.
     """
     key = F.col(f"`{id_col}`")
     rows = docs if usable is None else docs.where(usable)
-    rows = rows.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    # most rows leave by hash before their windows are cut; MARGIN times fit_docs of those with letters stay of each language
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
-    share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    rows = rows.join(F.broadcast(sizes), "lang").where(share * F.col("size") < MARGIN * fit_docs)
+    rows = rows.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = rows.where("id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    work = Workspace(docs.sparkSession, "languages")
+    sizes = work.save(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    quota = max(1, min(fit_docs, fit_total // max(1, sizes.count())))
+    # most rows of a frequent language leave by hash before their windows are cut and moved
+    frequent = sizes.where(F.col("size") > MARGIN * quota).orderBy(F.desc("size"), "lang").limit(THINNED)
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    rows = rows.withColumn("place", place).join(F.broadcast(frequent), "lang", "left").where(F.col("size").isNull() | (F.col("place") * F.col("size") < MARGIN * quota))
     spot = lambda k: F.pmod(F.xxhash64(F.col("id"), k), F.greatest(F.lit(1), F.length("text") - (WIDTH - 1))) + 1
     windows = F.transform(F.sequence(F.lit(1), F.lit(FIT_WINDOWS)), lambda k: F.substring(F.col("text"), spot(k).cast("int"), F.lit(WIDTH)))
-    rows = rows.select("id", "lang", windows.alias("windows"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "windows")
-    got = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_docs).select("lang", "n", "windows").collect()
+    rows = rows.select("id", "place", "lang", windows.alias("windows")).groupBy("lang", "id").agg(F.min("place").alias("place"), F.min("windows").alias("windows"))
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    got = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= quota).select("lang", "n", "windows").collect()
+    work.drop_all_but()
     got.sort(key=lambda r: (r.lang, r.n))
     return fit([w.encode() for r in got for w in r.windows], [r.lang for r in got for _ in r.windows])
 
