@@ -236,8 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns: one document of each group of near-duplicates, repeated rows once.
 
-    Rows without an id all stay.
+    Of several rows of a kept id the one with the smallest text stays, then the
+    smallest other columns in their order (columns that have no order don't
+    count). Rows without an id all stay; null and empty texts are no duplicates.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`")).distinct()
-    held = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col])
-    return held.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("k")).distinct()
+    names = docs.columns
+    flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    ordered = [text, *(c for c, kind in flat.dtypes if c not in (key, text) and "map<" not in kind and "variant" not in kind)]
+    held = flat.where(F.col(key).isNotNull()).join(kept.hint("merge"), F.col(key) == F.col("k"), "left_semi")
+    one = held.groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct(*flat.columns), F.struct(*ordered)).alias("r")).select("r.*")
+    return one.unionByName(flat.where(F.col(key).isNull())).toDF(*names)
