@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder of this process only where it is unset."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder, but only under a local master."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        known = _own.setdefault(app, _own.get(app) or "file://" + tempfile.mkdtemp(prefix="arbora-"))
+        known = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="arbora-"))
     return known.rstrip("/")
 
 
