@@ -1,15 +1,15 @@
 """Each query without an SQL twin against a plain version of its contract, on whole small tables."""
 
-import collections
 import hashlib
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
+import plain
 import pytest
 
 SF = "/root/testdata/sf0.01"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @pytest.fixture(scope="module")
@@ -23,33 +23,27 @@ def run(spark, name, sf=SF):
     return queries.queries()[name](spark, sf).toPandas()
 
 
-def plain_rules(text):
-    words = WORD.findall(text or "")
-    runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    count = collections.Counter(runs)
-    covered = set()
-    for i, r in enumerate(runs):
-        if count[r] > 1:
-            covered.update(range(i, i + 8))
-    seen, dup = set(), 0
-    for line in (text or "").split("\n"):
-        if WORD.search(line):
-            dup += line in seen
-            seen.add(line)
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
-
-
 def test_quality_rules(spark, docs):
     got = run(spark, "op2_quality_rules").set_index("doc_id")
     assert len(got) == len(docs)
     for d, t in zip(docs.doc_id, docs.text):
-        r, want = got.loc[d], plain_rules(t)
+        r, want = got.loc[d], plain.rules(t)
         assert tuple(r[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]]) == want, d
         failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
         assert r.base_failed == failed
         assert not (failed and r.kept)
 
 
+def test_quality_ratio(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    got = run(spark, "op2_quality_rules", "/root/testdata/sf0.001").set_index("doc_id")
+    llr = plain.ratios(list(docs.text))
+    for d, t in zip(docs.doc_id, docs.text):
+        want, r = llr(t), got.loc[d]
+        assert r.llr == pytest.approx(want, abs=1e-9)
+        assert r.kept == (not r.base_failed and round(want, 9) >= -0.3)
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", SF])
 def test_quality_rules_part_labels(spark, sf):
     got = run(spark, "op2_quality_rules", sf).merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -61,34 +55,9 @@ def test_quality_rules_part_labels(spark, sf):
     assert junk.kept.mean() <= 0.1
 
 
-def plain_components(rows):
-    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for d, t in rows:
-        w = WORD.findall((t or "").translate(fold))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    parent = {d: d for d in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    places = collections.defaultdict(list)
-    for d in sorted(sets):
-        shared = collections.Counter(o for s in sets[d] for o in places[s])
-        for o, i in shared.items():
-            if 100 * i >= 75 * (len(sets[d]) + len(sets[o]) - i):
-                a, b = sorted((find(d), find(o)))
-                parent[b] = a
-        for s in sets[d]:
-            places[s].append(d)
-    return {d: (len(sets[d]), find(d)) for d in sets}
-
-
 def test_near_dedup(spark, docs):
     got = run(spark, "op3_near_dedup").set_index("doc_id")
-    want = plain_components(list(zip(docs.doc_id, docs.text)))
+    want = plain.components(list(zip(docs.doc_id, docs.text)))
     assert {d: (r.n_shingles, r.component_id) for d, r in got.iterrows()} == want
     assert (got.kept == (got.index == got.component_id)).all()
     assert got.kept.sum() < len(got)
@@ -103,6 +72,35 @@ def test_quality_gam_held_out(spark, docs):
     assert got.score.between(0, 1).all() and len(got) == len(docs)
 
 
+def test_quality_gam_scores(spark):
+    from arbora.llm import quality_gam
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    x = {d: plain.features(t) for d, t in zip(docs.doc_id, docs.text)}
+    y = {d: q for d, q in zip(labels.doc_id, labels.quality) if zlib.crc32(str(d).encode()) % 3 != 1 and d in x}
+    model = quality_gam.fit(np.array([x[d] for d in sorted(y)]), np.array([y[d] for d in sorted(y)], float))
+    got = run(spark, "op4_quality_gam", sf).set_index("doc_id")
+    for d in x:
+        want = plain.additive_score(model, x[d])
+        assert got.loc[d].score == pytest.approx(want, abs=1e-6)
+        assert got.loc[d].predicted == (got.loc[d].score >= 0.5)
+
+
+def test_trees_against_every_cut():
+    from arbora.llm import quality_gam
+
+    rng = np.random.default_rng(4)
+    gain_of = lambda g, h: g.sum() ** 2 / (h.sum() + 1)
+    for _ in range(40):
+        k = int(rng.integers(2, 9))
+        g, h, n = rng.normal(0, 3, k), rng.uniform(0.5, 3, k), rng.integers(0, 12, k)
+        ok = [c for c in range(1, k) if n[:c].sum() >= quality_gam.LEAST and n[c:].sum() >= quality_gam.LEAST]
+        want = max(((gain_of(g[:c], h[:c]) + gain_of(g[c:], h[c:]) - gain_of(g, h), c) for c in ok), default=(0.0, -1))
+        got = quality_gam._split(g, h, n)
+        assert got[1] == want[1] and got[0] == pytest.approx(want[0])
+
+
 def plain_article(page):
     import html
 
@@ -120,16 +118,10 @@ def test_html_extract(spark):
 
 
 def test_byte_bpe(spark, docs):
-    import base64
-
-    import public_tokenizers as P
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = plain.tokenizer()
     got = run(spark, "op7_byte_bpe").set_index("doc_id")
     for d, t in zip(docs.doc_id, docs.text):
-        ids = plain.encode_ordinary(t or "")
+        ids = encoder.encode_ordinary(t or "")
         r = got.loc[d]
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
@@ -144,23 +136,29 @@ def test_lang_id_held_out(spark, docs):
     assert got.score.between(0, 1).all()
 
 
-def plain_secrets(text):
-    kinds = (
-        ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
-        ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
-        ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
-    )
-    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(kinds) for m in p.finditer(text) if ok(m)]
-    return [f"{n}:{a}:{b}" for a, _, b, n in sorted(found)]
+def test_lang_id_scores(spark):
+    from arbora.llm import lang_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000")
+    model = lang_id.train(docs, "doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").where("doc_id % 10 = 0").collect()}
+    for r in lang_id.predict_language(docs.where("doc_id % 10 = 0"), model).collect():
+        if r.lang_pred == "und":
+            continue
+        want = plain.language_probabilities(model, texts[r.doc_id])
+        assert r.score == pytest.approx(want.max(), abs=1e-4)
+        assert want[model.languages.index(r.lang_pred)] >= want.max() - 1e-4
 
 
 def test_secret_scan(spark, docs):
     got = run(spark, "op9_secret_scan").set_index("doc_id")
     total = 0
     for d, t in zip(docs.doc_id, docs.text):
-        want, r = plain_secrets(t or ""), got.loc[d]
+        want, r = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in plain.base_secrets(t or "")], got.loc[d]
         total += len(want)
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert {p for _, a, b in spans for p in range(int(a), int(b))} == plain.secret_positions(t or ""), d
         assert [s for s in r.spans.split(",") if s and not s.startswith("entropy")] == want
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
     assert total
@@ -173,3 +171,7 @@ def test_decontaminate(spark, docs):
     want = {(d, i) for d, t in zip(docs.doc_id, docs.text) for n in [f" {norm(t)} "] for i, x in items if x in n}
     got = run(spark, "op10_decontaminate")
     assert want and want == set(zip(got.doc_id, got.item_id))
+    every = plain.leaks(list(zip(docs.doc_id, docs.text)), list(zip(bench.item_id, bench.text)))
+    for r in got.itertuples():
+        assert (r.score, r.question_overlap, r.answer_overlap) == pytest.approx(every.pop((r.doc_id, r.item_id)), abs=1e-8)
+    assert not every

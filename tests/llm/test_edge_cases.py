@@ -83,9 +83,9 @@ def test_near_dedup_finds_links_that_miss_every_centre(spark):
         for at in rng.sample(range(120), rng.choice([1, 2, 3, 4])):
             t[at] = f"e{rng.randrange(40)}"
         texts.append(" ".join(t))
-    from test_brute_force import plain_components
+    from plain import components
 
-    want = plain_components(list(enumerate(texts, 1)))
+    want = components(list(enumerate(texts, 1)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
