@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.scalar import lines_of_code, one_hot
 from ..model import EDGE_TYPES, LABELS, PropertyGraph
 from ..operators.aggregates import degrees
+from ..operators.community import label_index
 
+# Labels, edge types, languages and ordinals of the plain matrices.
+MATRIX_LABELS = (
+    "Project Package Module Folder File Section Class Function Method Variable Interface Enum Decorator Import Type CodeElement Struct Constructor "
+    "Community Process Macro Typedef Union Namespace Trait Impl TypeAlias Const Static Property"
+).split()
+MATRIX_TYPES = (
+    "CONTAINS CALLS EXTENDS METHOD_OVERRIDES METHOD_IMPLEMENTS IMPORTS USES DEFINES DECORATES IMPLEMENTS HAS_METHOD HAS_PROPERTY ACCESSES "
+    "MEMBER_OF STEP_IN_PROCESS HANDLES_ROUTE FETCHES HANDLES_TOOL ENTRY_POINT_OF WRAPS QUERIES USES_FRAMEWORK RETURNS_TYPE DECLARES_TYPE CHAINABLE_TO"
+).split()
+MATRIX_LANGUAGES = "typescript javascript tsx python java go rust csharp php ruby swift c cpp dart kotlin scala html".split()
+MATRIX_VISIBILITY = {"public": 0, "protected": 1, "private": 2}
 VISIBILITY = {"private": 0, "protected": 1, "internal": 2, "public": 3}
 
 
@@ -22,8 +34,7 @@ def vertex_features(g: PropertyGraph, ranks: DataFrame | None = None, between: D
     for extra, name in ((ranks, "rank"), (between, "betweenness")):
         v = v.join(extra.select("id", name), "id", "left") if extra is not None else v.withColumn(name, F.lit(None).cast("double"))
     if members is not None:
-        first = members.groupBy("community").agg(F.min("id").alias("s"))
-        index = first.select("community", (F.row_number().over(Window.orderBy("s")) - 1).alias("ci"))
+        index = label_index(members, "id").withColumnRenamed("index", "ci")
         v = v.join(members.join(index, "community").select("id", "ci"), "id", "left")
     else:
         v = v.withColumn("ci", F.lit(None).cast("int"))
@@ -57,3 +68,37 @@ def hetero_edges(g: PropertyGraph) -> DataFrame:
     i = hetero_index(g.vertices)
     e = g.edges.join(i.toDF("src", "src_label", "src_index"), "src").join(i.toDF("dst", "dst_label", "dst_index"), "dst")
     return e.select("src_label", "type", "dst_label", "src_index", "dst_index", "confidence")
+
+
+def node_matrix(vertices: DataFrame, edges: DataFrame | None = None, embeddings: DataFrame | None = None, dims: int = 0, labels: list[str] | None = None) -> DataFrame:
+    """id, features: label one-hot, degrees (in, out, total; zeros without edges), visibility, language one-hot, two counts, five flags, then the embedding (id, vector; zeros where missing).
+
+    Missing columns and nulls are 0; unknown labels and languages are all zeros.
+    """
+    labels = labels or MATRIX_LABELS
+    v = vertices
+    if edges is not None:
+        out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_out"))
+        into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_in"))
+        v = v.join(out, "id", "left").join(into, "id", "left")
+    else:
+        v = v.withColumn("_out", F.lit(0)).withColumn("_in", F.lit(0))
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    hot = lambda c, names: F.transform(one_hot(c, names), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    n_in, n_out = number(F.col("_in")), number(F.col("_out"))
+    seen = F.lower(F.coalesce(_or_null(v, "visibility", "string"), F.lit("public")))
+    ordinal = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in MATRIX_VISIBILITY.items() for x in kv)), seen), F.lit(0))
+    counts = [number(_or_null(v, c, "double")) for c in ("parameter_count", "level")]
+    flags = [number(_or_null(v, c, "boolean").cast("int")) for c in ("is_exported", "is_static", "is_readonly", "is_abstract", "is_async")]
+    features = F.concat(hot(F.col("label"), labels), F.array(n_in, n_out, n_in + n_out, ordinal.cast("double")), hot(_or_null(v, "language", "string"), MATRIX_LANGUAGES), F.array(*counts, *flags))
+    if embeddings is None:
+        return v.select("id", features.alias("features"))
+    v = v.join(embeddings.select("id", F.col("vector").cast("array<double>").alias("_vector")), "id", "left")
+    return v.select("id", F.concat(features, F.coalesce("_vector", F.array_repeat(F.lit(0.0), dims))).alias("features"))
+
+
+def edge_matrix(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """src, dst, type, features: confidence, step, type one-hot; missing columns and nulls are 0, unknown types all zeros."""
+    number = lambda c: F.coalesce(_or_null(edges, c, "double"), F.lit(0.0))
+    hot = F.transform(one_hot(F.col("type"), types or MATRIX_TYPES), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return edges.select("src", "dst", "type", F.concat(F.array(number("confidence"), number("step")), hot).alias("features"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,17 +14,30 @@ STOP_WORDS = (
 ).split()
 
 
+# Stop words of key terms, the words of a task's description.
+KEY_STOP_WORDS = (
+    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would could should may "
+    "might shall can need dare it its this that these those i me my we our you your he him his she her they them their what which who whom "
+    "where when how not no nor if then else so as than too very just about above after before between into through during here there all each "
+    "every both few more most other some such only own same also find where looking trying want get show tell know"
+).split()
+
+
+def plain_tokens(text: Column) -> Column:
+    """Lower case, other than a-z 0-9 _ - and white space to blanks, words over one letter; repeats stay."""
+    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " "), r"\s+")
+    return F.filter(words, lambda w: F.length(w) > 1)
+
+
 def tokens(text: Column) -> Column:
-    """Lower case, other than a-z 0-9 _ - and white space to blanks, words over one letter, no stop words; repeats stay."""
+    """As plain_tokens, without stop words."""
     words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " "), r"\s+")
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def key_terms(text: Column) -> Column:
-    """Distinct words of letters, digits and underscores, three letters or more, without stop words."""
-    stops = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w)))
+    """Words of letters, digits and underscores, two letters or more, without stop words; repeats stay."""
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*KEY_STOP_WORDS))
 
 
 def query_terms(query: str) -> list[str]:
@@ -40,12 +54,39 @@ def snippet(text: Column, term: str) -> Column:
     return F.regexp_replace(text, f"(?i)({re.escape(term)})", "<b>$1</b>")
 
 
+def string_hash(word: str) -> int:
+    """The absolute value of the signed 32-bit hash h = 31 h + code unit."""
+    h = 0
+    for c in word.encode("utf-16-be").hex(" ", 2).split():
+        h = (31 * h + int(c, 16)) & 0xFFFFFFFF
+    return abs(h - (1 << 32) if h >= 1 << 31 else h)
+
+
 def bag_of_words(words: Column, dims: int) -> Column:
-    """Hashing vector: each word adds 1 at its hash modulo dims; unit length (zero stays zero)."""
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)))
+    """Hashing vector of an array of words: each adds 1 at its string_hash modulo dims; unit length (zero stays zero).
+
+    In Arrow batches, so that the cost is in the words, not in words times dims.
+    """
+
+    def run(batch: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for row in batch:
+            v = np.zeros(dims)
+            for w in row if row is not None else ():
+                slot = known.get(w)
+                if slot is None:
+                    slot = known[w] = string_hash(w) % dims
+                v[slot] += 1
+            out.append(v / (np.sqrt(v @ v) or 1.0))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(words)
+
+
+def node_text(source: Column, label: Column, name: Column) -> Column:
+    """What is embedded of a vertex: the first 2,048 characters of its source, else label and name."""
+    return F.when(F.length(source) > 0, F.substring(source, 1, 2048)).otherwise(F.concat(label, F.lit(": "), F.coalesce(name, F.lit(""))))
 
 
 def vocabulary_vector(words: Column, vocabulary: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
+from ..sources.writers import index_vertices
 from ..storage import Workspace
 
 #: Supersteps between two written tables.
@@ -85,23 +86,23 @@ def hits(g: PropertyGraph, iterations: int = 20) -> DataFrame:
 def betweenness(g: PropertyGraph, max_edges: int = 20_000_000) -> DataFrame:
     """id, betweenness over the undirected simple graph, halved, not normalised (Brandes).
 
-    Sources are dealt over the cluster; the adjacency is broadcast as arrays
-    after a check of its size (beyond max_edges it raises: exact betweenness is
+    Sources are dealt over the cluster; the adjacency reaches the driver as places
+    by Arrow and is broadcast as arrays, after a check of its size (beyond max_edges it raises: exact betweenness is
     O(vertices x edges), no cluster makes that cheap).
     """
     pairs = g.without_dangling().undirected()
     m = pairs.count()
     if m > max_edges:
         raise ValueError(f"{m} edges exceed max_edges={max_edges}")
-    ids = np.array([r.id for r in g.vertices.select("id").distinct().orderBy("id").toLocalIterator()], dtype=object)
-    place = {v: i for i, v in enumerate(ids)}
-    src = np.empty(m, np.int32)
-    dst = np.empty(m, np.int32)
-    for k, r in enumerate(pairs.orderBy("a", "b").toLocalIterator()):
-        src[k], dst[k] = place[r.a], place[r.b]
-    first = np.searchsorted(src, np.arange(len(ids) + 1))
+    work = Workspace(g.spark, "betweenness")
+    places = work.save(index_vertices(g.vertices), "places")
+    n = places.count()
+    if n > max_edges:
+        raise ValueError(f"{n} vertices exceed max_edges={max_edges}")
+    ends = pairs.join(places.toDF("a", "s"), "a").join(places.toDF("b", "t"), "b").select(F.col("s").cast("int"), F.col("t").cast("int")).toPandas().sort_values(["s", "t"])
+    src, dst = ends["s"].to_numpy(np.int32), ends["t"].to_numpy(np.int32)
+    first = np.searchsorted(src, np.arange(n + 1))
     shared = g.spark.sparkContext.broadcast((first, dst))
-    n = len(ids)
 
     def kernel(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, dst = shared.value
@@ -114,8 +115,7 @@ def betweenness(g: PropertyGraph, max_edges: int = 20_000_000) -> DataFrame:
 
     sources = g.spark.range(n).repartition(max(1, min(n, 4 * g.spark.sparkContext.defaultParallelism)))
     sums = sources.mapInPandas(kernel, "v long, b double").groupBy("v").agg((F.sum("b") / 2).alias("betweenness"))
-    named = g.spark.createDataFrame(pd.DataFrame({"v": np.arange(n), "id": ids}), "v long, id string")
-    return named.join(sums, "v", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    return places.withColumnRenamed("index", "v").join(sums, "v", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
 def _brandes(s: int, first: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:

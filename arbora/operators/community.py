@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dirname
 from ..model import COUPLING, PropertyGraph
+from ..plans.rewrites import number_rows
 from ..storage import Workspace
 from .components import connected_components, star_components
 
@@ -59,29 +60,34 @@ def _louvain(pdf: pd.DataFrame, passes: int) -> pd.DataFrame:
     return pd.DataFrame({"id": order, "community": [home[v] for v in order]})
 
 
-def louvain(g: PropertyGraph, types: tuple[str, ...] = COUPLING, passes: int = 10, max_component_edges: int = 2_000_000) -> DataFrame:
+def louvain(g: PropertyGraph, types: tuple[str, ...] = COUPLING, passes: int = 10, max_component_edges: int = 2_000_000, oversized: str = "raise") -> DataFrame:
     """id, community (its smallest member): greedy modularity by component, vertices in order of id; communities are connected.
 
-    The greedy pass is sequential, so a component is one task; components with
-    more than max_component_edges pairs fall back to synchronous label
-    propagation, which is distributed throughout. A vertex without coupling is alone.
+    The greedy pass is sequential, so a component is one task; a component with
+    more than max_component_edges pairs raises. oversized="propagate" asks for
+    synchronous label propagation there instead, which is distributed throughout
+    and gives other communities. A vertex without coupling is alone.
     """
     work = Workspace(g.spark, "louvain")
     w = work.save(coupling_weights(g, types), "weights")
     cc = star_components(w, work)
-    inside = w.join(cc.toDF("a", "component"), "a", "left").select("a", "b", "w", F.coalesce("component", "a").alias("component"))
+    inside = work.save(w.join(cc.toDF("a", "component"), "a", "left").select("a", "b", "w", F.coalesce("component", "a").alias("component")), "inside")
     size = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = inside.join(size.where(F.col("n") <= max_component_edges).select("component"), "component", "left_semi")
-    found = small.groupBy("component").applyInPandas(lambda pdf: _louvain(pdf, passes), "id string, community string")
-    large = inside.join(size.where(F.col("n") > max_component_edges).select("component"), "component", "left_semi")
-    if not large.isEmpty():
+    too_large = size.where(F.col("n") > max_component_edges).select("component")
+    found = None
+    if not too_large.isEmpty():
+        if oversized != "propagate":
+            raise ValueError(f"a component has more than max_component_edges={max_component_edges} pairs; raise the limit or pass oversized='propagate'")
+        large = inside.join(too_large, "component", "left_semi")
         ids = large.select(F.col("a").alias("id")).union(large.select("b")).distinct()
-        sub = PropertyGraph(ids, large.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        found = found.unionByName(label_propagation(sub))
-    found = work.save(found, "found")
+        found = label_propagation(PropertyGraph(ids, large.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    small = inside.join(too_large, "component", "left_anti").groupBy("component").applyInPandas(lambda pdf: _louvain(pdf, passes), "id string, community string")
+    found = work.save(small if found is None else small.unionByName(found), "found")
     same = w.join(found.toDF("a", "ca"), "a").join(found.toDF("b", "cb"), "b").where("ca = cb").select("a", "b")
     pieces = star_components(same, work, "pieces")
-    return g.vertices.select("id").join(pieces, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
+    out = work.save(g.vertices.select("id").join(pieces, "id", "left").select("id", F.coalesce("component", "id").alias("community")), "result")
+    work.drop_all_but("result")
+    return out
 
 
 def contract(weights: DataFrame, members: DataFrame) -> DataFrame:
@@ -90,23 +96,39 @@ def contract(weights: DataFrame, members: DataFrame) -> DataFrame:
     return e.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
 
 
-def hierarchy(g: PropertyGraph, max_levels: int = 5) -> DataFrame:
-    """level, id, community: Louvain, then Louvain of the contracted graph, until one community is left or nothing merges."""
+def hierarchy(g: PropertyGraph, max_levels: int = 5, gain: float = 1.01) -> DataFrame:
+    """level, id, community: Louvain, then Louvain of the contracted graph, level by level.
+
+    Ends with one community, where nothing merges, or after the level whose modularity is not over ``gain`` times the last one's.
+    """
     work = Workspace(g.spark, "hierarchy")
-    now, out = g, None
+    now, out, last = g, None, None
     for level in range(max_levels):
         members = work.save(louvain(now), f"level-{level}")
         out = members.withColumn("level", F.lit(level)) if out is None else out.unionByName(members.withColumn("level", F.lit(level)))
         n, groups = members.count(), members.select("community").distinct().count()
-        if groups <= 1 or groups == n:
+        weights = work.save(coupling_weights(now), f"coupling-{level}")
+        q = weighted_modularity(weights, members)
+        if groups <= 1 or groups == n or (last is not None and q <= last * gain):
             break
-        w = contract(coupling_weights(now), members)
+        last = q
+        w = contract(weights, members)
         now = PropertyGraph(
             members.select(F.col("community").alias("id")).distinct(), work.save(w, f"weights-{level}").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CALLS").alias("type"), F.col("w").alias("confidence"))
         )
+    work.drop_all_but(*(t for t in work.tables if t.startswith("level-")))
     return out.select("level", "id", "community")
 
 
+def weighted_modularity(weights: DataFrame, members: DataFrame) -> float:
+    """Modularity of (id, community) over undirected weights (a, b, w); 0 without weights."""
+    e = weights.join(members.toDF("a", "ca"), "a").join(members.toDF("b", "cb"), "b")
+    ends = e.select(F.explode(F.array("ca", "cb")).alias("c"), "w", (F.col("ca") == F.col("cb")).alias("inside"))
+    per = ends.groupBy("c").agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("inside"), F.col("w")).otherwise(0.0)).alias("own"))
+    r = per.agg(F.sum("tot").alias("m"), F.sum("own").alias("own"), F.sum(F.col("tot") * F.col("tot")).alias("squares")).first()
+    return float(r.own / r.m - r.squares / (r.m * r.m)) if r.m else 0.0
+
+
 def namespaces(vertices: DataFrame, max_depth: int = 3) -> DataFrame:
     """namespace, parent, depth, n: directories of the first max_depth levels with all vertices below them."""
     d = F.filter(F.split(dirname(F.col("file_path")), "/"), lambda s: s != "")
@@ -124,9 +146,9 @@ def collapse(g: PropertyGraph, members: DataFrame) -> PropertyGraph:
 
 
 def label_index(members: DataFrame, seq: str) -> DataFrame:
-    """community, index: numbered from 0 in order of first appearance."""
+    """community, index: numbered from 0 in order of first appearance (then by name); no task sees all communities."""
     first = members.groupBy("community").agg(F.min(seq).alias("s"))
-    return first.select("community", (F.row_number().over(Window.orderBy("s", "community")) - 1).alias("index"))
+    return number_rows(first.select("community", "s"), ["s", "community"], "index").select("community", "index")
 
 
 __all__ = ["collapse", "connected_components", "contract", "coupling_weights", "hierarchy", "label_index", "label_propagation", "louvain", "namespaces"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,38 +139,98 @@ def declared_symbols(files: DataFrame) -> DataFrame:
     return files.select("file_path", F.explode(F.concat(*(F.coalesce(f, empty) for f in found))).alias("s")).select("file_path", "s.*")
 
 
-# Route patterns as (framework, pattern, group of method (0: fixed), group of path (0: fixed), fixed method, fixed path).
+# Route patterns as (framework, pattern, group of the method or its fixed text, group of the path or its fixed text, whether the method is upper-cased).
 ROUTES = (
-    ("express", r"\b(app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['\"]([^'\"]+)['\"]", 2, 3, "", ""),
-    ("fastapi", r"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("flask", r"@\w+\.route\s*\(\s*['\"]([^'\"]+)['\"]", 0, 1, "GET", ""),
-    ("laravel", r"\bRoute::(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("django", r"\bpath\s*\(\s*['\"]([^'\"]+)['\"]", 0, 1, "ANY", ""),
-    ("nextjs", r"export\s+(?:async\s+)?(?:function\s+|const\s+)(GET|POST|PUT|DELETE|PATCH)\b", 1, 0, "", "[inferred]"),
-    ("spring", r"@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*(?:value\s*=\s*)?['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("spring", r"@RequestMapping\s*\(\s*(?:(?:value|path)\s*=\s*)?['\"]([^'\"]+)['\"]", 0, 1, "ANY", ""),
-    ("nestjs", r"@(Get|Post|Put|Delete|Patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("nestjs", r"@(Get|Post|Put|Delete|Patch)\s*\(\s*\)", 1, 0, "", ""),
-    ("django-rest", r"@api_view\s*\(\s*\[\s*['\"](\w+)", 1, 0, "", "[inferred]"),
-    ("html-template", r"(?i)<form[^>]*action\s*=\s*['\"]([^'\"]+)['\"]", 0, 1, "GET", ""),
-    ("blade-template", r"\{\{\s*Form::open\s*\(\s*\[\s*['\"]url['\"]\s*=>\s*['\"]([^'\"]+)['\"]", 0, 1, "POST", ""),
-    ("fastify", r"\bfastify\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("hapi", r"(?s)(?:server|route)\s*\.\s*route\s*\(\s*\{[^}]*method\s*:\s*['\"](\w+)['\"][^}]*path\s*:\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("koa", r"\bkoa\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, "", ""),
-    ("graphql", r"(?s)(?:Query|Mutation)\s*:\s*\{[^}]*?(\w+)\s*[:(]", 0, 1, "GRAPHQL", ""),
+    ("express", r"\b(app|router)\.(get|post|put|delete|patch|use)\s*\(\s*['\"]([^'\"]+)['\"]", 2, 3, False),
+    ("fastapi", r"@\w+\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, False),
+    ("flask", r"@\w+\.route\s*\(\s*['\"]([^'\"]+)['\"]", "GET", 1, False),
+    ("laravel", r"\bRoute::(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, False),
+    ("django", r"\bpath\s*\(\s*['\"]([^'\"]+)['\"]", "ANY", 1, False),
+    ("nextjs", r"export\s+(?:async\s+)?(?:function\s+|const\s+)(GET|POST|PUT|DELETE|PATCH)\b", 1, "[inferred]", False),
+    ("spring", r"@(Get|Post|Put|Delete|Patch)Mapping\s*\(\s*(?:value\s*=\s*)?['\"]([^'\"]+)['\"]", 1, 2, True),
+    ("spring", r"@RequestMapping\s*\(\s*(?:(?:value|path)\s*=\s*)?['\"]([^'\"]+)['\"][\s,]*(?:method\s*=\s*RequestMethod\.(GET|POST|PUT|DELETE|PATCH))?", 2, 1, False),
+    ("nestjs", r"@(Get|Post|Put|Delete|Patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, True),
+    ("nestjs", r"@(Get|Post|Put|Delete|Patch)\s*\(\s*\)", 1, "", True),
+    ("django-rest", r"@api_view\s*\(\s*\[([^\]]+)\]", 1, "[inferred]", False),
+    ("django-rest", r"@action\s*\([^)]*methods\s*=\s*\[([^\]]+)\]", 1, "[inferred]", False),
+    ("html-template", r"(?i)<form[^>]*action\s*=\s*['\"]([^'\"]+)['\"][^>]*>", "GET", 1, False),
+    ("pug-template", r"(?m)^[\s]*form\s*\([^)]*action\s*=\s*['\"]([^'\"]+)['\"]", "GET", 1, False),
+    ("blade-template", r"\{\{\s*Form::open\s*\(\s*\[\s*['\"]url['\"]\s*=>\s*['\"]([^'\"]+)['\"]", "POST", 1, False),
+    ("fastify", r"\bfastify\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, True),
+    ("hapi", r"(?s)(?:server|route)\s*\.\s*route\s*\(\s*\{[^}]*method\s*:\s*['\"](\w+)['\"][^}]*path\s*:\s*['\"]([^'\"]+)['\"]", 1, 2, True),
+    ("koa", r"\b(router|koa)\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"]+)['\"]", 2, 3, True),
+    ("graphql", r"(?s)(?:Query|Mutation)\s*:\s*\{[^}]*?(\w+)\s*[:(]", "GRAPHQL", 1, False),
+    ("nextjs-pages", r"export\s+default\s+(?:async\s+)?(?:function|const)\s+\w*(?:Page|Handler)", "GET", "[inferred]", False),
 )
+# Paths of files that are searched for routes.
+ROUTE_FILES = (
+    r"routes?[/\\]|api[/\\]|(?i:controller)|(?i:handler)|(?i:route\.(?:ts|js|py|php)$)|(?i:\b(?:app|main|server|index)\.(?:ts|js|py|php)$)|(?i:\.(?:html|ejs|blade\.php|hbs|pug|jsx|tsx)$)"
+    r"|(?:^|[/\\])app[/\\]|(?:^|[/\\])pages[/\\]|(?i:resolv)|(?i:schema\.(?:ts|js|graphql|gql)$)"
+)
+_ROUTE_TYPE = "array<struct<framework:string,method:string,path:string>>"
+
+
+def _route(name: str, pattern: str, of_method: int | str, of_path: int | str, upper: bool) -> object:
+    """A function from a match to its route; a method that the match leaves open is ANY, quotes in a list of methods go."""
+    get = lambda x, k: F.lit(k) if isinstance(k, str) else F.regexp_extract(x, pattern, k)
+
+    def made(x: Column) -> Column:
+        method = F.trim(F.regexp_replace(get(x, of_method), "['\"]", ""))
+        method = F.when(method == "", "ANY").otherwise(F.upper(method) if upper else method)
+        return F.struct(F.lit(name).alias("framework"), method.alias("method"), get(x, of_path).alias("path"))
+
+    return made
+
+
+def _below_app(path: Column) -> Column:
+    """What follows the first app folder of a path; null without one."""
+    at = F.instr(path, "/app/")
+    return F.when(at > 0, F.substring(path, at + 5, F.length(path))).when(F.startswith(path, F.lit("app/")), F.substring(path, F.lit(5), F.length(path)))
+
+
+def _as_url(path: Column) -> Column:
+    """[x] as :x, one slash at the start, none at the end."""
+    url = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path, r"\[([^\]]+)\]", ":$1"), "^/", ""))
+    return F.when(url == "/", url).otherwise(F.regexp_replace(url, "/$", ""))
+
+
+def app_router_path(path: Column) -> Column:
+    """The route of a route or page file below an app folder; route groups leave no segment; null for other files."""
+    below = _below_app(F.replace(path, F.lit("\\"), F.lit("/")))
+    is_route = below.rlike(r"route\.(?:ts|js)$") | below.rlike(r"/page\.(?:tsx|ts|jsx|js)$")
+    bare = F.regexp_replace(F.regexp_replace(below, r"/(?:route\.(?:ts|js)|page\.(?:tsx|ts|jsx|js))$", ""), r"/\([^)]+\)", "")
+    return F.when(is_route, _as_url(F.regexp_replace(bare, "/+", "/")))
 
 
-def _route(name: str, pattern: str, of_method: int, of_path: int, method: str, path: str) -> object:
-    get = lambda x, k, fixed: F.regexp_extract(x, pattern, k) if k else F.lit(fixed)
-    return lambda x: F.struct(F.lit(name).alias("framework"), F.upper(get(x, of_method, method)).alias("method"), get(x, of_path, path).alias("path"))
+def screen_path(path: Column) -> Column:
+    """The route of a screen file below an app folder; index stands for its folder; null for other files."""
+    below = _below_app(F.replace(path, F.lit("\\"), F.lit("/")))
+    bare = F.regexp_replace(below, r"\.(?:tsx?|jsx?)$", "")
+    return F.when(below.rlike(r"\.(?:tsx?|jsx?)$"), F.when(bare == "index", "/").otherwise(_as_url(F.regexp_replace(bare, "/index$", ""))))
 
 
-def routes(files: DataFrame) -> DataFrame:
-    """id route:<file>:<framework>:<METHOD>:<path>, file_path, framework, method, path."""
-    empty = F.array().cast("array<struct<framework:string,method:string,path:string>>")
-    found = [F.coalesce(F.transform(F.regexp_extract_all("content", F.lit(rule[1]), F.lit(0)), _route(*rule)), empty) for rule in ROUTES]
-    r = files.select("file_path", F.explode(F.concat(*found)).alias("r")).select("file_path", "r.*").distinct()
+def routes(files: DataFrame, every_file: bool = False) -> DataFrame:
+    """id route:<file>:<framework>:<method>:<path>, file_path, framework, method, path.
+
+    Files are those whose path speaks of routes, unless every_file. Methods keep
+    the case that the framework's pattern gives them; a decorator's list of
+    methods stays one text; forms and plain route decorators count as GET.
+    Paths of a file with a controller prefix start with it. Files below an app
+    folder are routes by their place.
+    """
+    f = files if every_file else files.where(F.col("file_path").rlike(ROUTE_FILES))
+    path, content = F.col("file_path"), F.col("content")
+    found = [F.coalesce(F.transform(F.regexp_extract_all("content", F.lit(rule[1]), F.lit(0)), _route(*rule)), F.array().cast(_ROUTE_TYPE)) for rule in ROUTES]
+    prefix = F.regexp_extract("content", r"@Controller\s*\(\s*['\"]([^'\"]+)['\"]\)", 1)
+    url, unix = app_router_path(path), F.replace(path, F.lit("\\"), F.lit("/"))
+    by_place = lambda name, method, at: F.struct(F.lit(name).alias("framework"), method.alias("method"), at.alias("path"))
+    exported = F.transform(F.regexp_extract_all("content", F.lit(r"export\s+(?:async\s+)?(?:function\s+|const\s+)(GET|POST|PUT|DELETE|PATCH)\b"), F.lit(1)), lambda m: by_place("nextjs-app", m, url))
+    placed = F.when(url.isNotNull() & unix.rlike(r"/route\.(?:ts|js)$"), exported).when(url.isNotNull() & unix.rlike(r"/page\.(?:tsx|ts|jsx|js)$"), F.array(by_place("nextjs-app", F.lit("GET"), url)))
+    screen = F.when(content.rlike(r"\bexpo-router\b") & screen_path(path).isNotNull(), F.array(by_place("expo", F.lit("GET"), screen_path(path))))
+    none = F.array().cast(_ROUTE_TYPE)
+    r = f.select("file_path", prefix.alias("prefix"), F.explode(F.concat(*found, F.coalesce(placed.cast(_ROUTE_TYPE), none), F.coalesce(screen.cast(_ROUTE_TYPE), none))).alias("r")).select("file_path", "prefix", "r.*")
+    joined = F.regexp_replace(F.concat(F.lit("/"), "prefix", F.when(F.col("path").isin("/", ""), "").otherwise(F.concat(F.lit("/"), "path"))), "/+", "/")
+    r = r.withColumn("path", F.when((F.col("framework") == "nestjs") & (F.col("prefix") != ""), joined).otherwise(F.col("path"))).drop("prefix").distinct()
     return r.select(F.concat_ws(":", F.lit("route"), "file_path", "framework", "method", "path").alias("id"), "file_path", "framework", "method", "path")
 
 
@@ -251,18 +312,57 @@ def link_edges(links: DataFrame, files: DataFrame) -> DataFrame:
     return edges_of(hit, F.concat(F.lit("file:"), "file_path"), F.concat(F.lit("file:"), "t"), "USES", 0.6)
 
 
-# Dependency names that identify a framework.
-FRAMEWORKS = {
-    "react": "React", "vue": "Vue", "@angular/core": "Angular", "svelte": "Svelte", "next": "Next.js", "express": "Express", "fastify": "Fastify", "koa": "Koa", "@nestjs/core": "NestJS",
-    "django": "Django", "flask": "Flask", "fastapi": "FastAPI", "sqlalchemy": "SQLAlchemy", "pytest": "pytest", "jest": "Jest", "vitest": "Vitest", "rails": "Rails", "github.com/gin-gonic/gin": "Gin", "actix-web": "Actix", "tokio": "Tokio",
+# What identifies a framework, by ecosystem: dependency names, or words and parts of a manifest.
+JS_FRAMEWORKS = {
+    "next": "next", "express": "express", "fastify": "fastify", "koa": "koa", "@nestjs/core": "nest", "@remix-run/node": "remix", "nuxt": "nuxt", "@trpc/server": "trpc",
+    "prisma": "prisma", "typeorm": "typeorm", "sequelize": "sequelize", "drizzle-orm": "drizzle", "knex": "knex", "mongoose": "mongoose",
 }
+REQUIRED = "flask fastapi django aiohttp sanic starlette sqlalchemy django.db peewee tortoise pony".split()
+PROJECT = "flask fastapi django".split()
+GO_MODULES = {"gin-gonic/gin": "gin", "labstack/echo": "echo", "gorilla/mux": "gorilla-mux", "go-chi/chi": "chi", "gofiber/fiber": "fiber"}
+CRATES = "actix-web rocket axum warp tide tokio".split()
+PACKAGE_MANIFESTS = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml", "pom.xml")
 
 
-def frameworks(dependencies: DataFrame) -> DataFrame:
-    """framework, ecosystem, scope (the manifest's directory), once each."""
-    table = F.create_map(*(F.lit(x) for kv in FRAMEWORKS.items() for x in kv))
-    d = dependencies.withColumn("framework", F.element_at(table, F.lower("name"))).where("framework is not null")
-    return d.select("framework", "ecosystem", dirname(F.col("file_path")).alias("scope")).distinct()
+def frameworks(files: DataFrame) -> DataFrame:
+    """name, ecosystem, version (of npm packages), detected_from, scope: frameworks and mappers by manifest, once for each scope.
+
+    scope is the manifest's folder, ``root`` at the top; deeper folders count if
+    they are packages. Of several files of a scope the first of
+    requirements.txt, pyproject.toml and manage.py is named.
+    """
+    path, content = F.col("file_path"), F.coalesce("content", F.lit(""))
+    base = basename(path)
+    word = lambda w: r"\b" + re.escape(w) + r"\b"
+    row = lambda name, eco, at, rank, version=None: F.struct(F.lit(name).alias("name") if isinstance(name, str) else name.alias("name"), F.lit(eco).alias("ecosystem"), (F.lit(None).cast("string") if version is None else version).alias("version"), F.lit(at).alias("detected_from"), F.lit(rank).alias("rank"))
+    kind = "array<struct<name:string,ecosystem:string,version:string,detected_from:string,rank:int>>"
+    some = lambda file, rows: F.when(base == file, F.array_compact(F.array(*rows)).cast(kind))
+    parsed = F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>")
+    npm = lambda field: F.coalesce(F.map_entries(parsed[field]), F.array().cast("array<struct<key:string,value:string>>"))
+    own = F.filter(npm("dependencies"), lambda d: ~F.exists(npm("devDependencies"), lambda e: e["key"] == d["key"]))
+    table = F.create_map(*(F.lit(x) for kv in JS_FRAMEWORKS.items() for x in kv))
+    listed = F.filter(F.concat(own, npm("devDependencies")), lambda d: d["key"].isin(*JS_FRAMEWORKS) & (d["value"] != ""))
+    js = F.when(base == "package.json", F.transform(listed, lambda d: row(F.element_at(table, d["key"]), "javascript", "package.json", 0, d["value"])).cast(kind))
+    lines = F.lower(content)
+    found = [
+        js,
+        some("requirements.txt", [F.when(lines.rlike(rf"(?m)^(?![^\S\n]*#).*{word(w)}"), row(w, "python", "requirements.txt", 1)) for w in REQUIRED]),
+        some("pyproject.toml", [F.when(content.rlike(word(w)), row(w, "python", "pyproject.toml", 2)) for w in PROJECT]),
+        some("manage.py", [row("django", "python", "manage.py", 3)]),
+        some("go.mod", [F.when(F.contains(content, F.lit(m)), row(n, "go", "go.mod", 4)) for m, n in GO_MODULES.items()]),
+        some("Cargo.toml", [F.when(content.rlike(word(w)), row(w, "rust", "Cargo.toml", 5)) for w in CRATES]),
+    ]
+    hits = files.select(dirname(path).alias("dir"), F.explode(F.concat(*(F.coalesce(f, F.array().cast(kind)) for f in found))).alias("f"))
+    packages = files.where(base.isin(*PACKAGE_MANIFESTS)).select(dirname(path).alias("dir")).distinct()
+    inside = hits.where("dir = ''").unionByName(hits.where("dir <> ''").join(packages, "dir", "left_semi"))
+    first = inside.groupBy("dir", F.col("f.name").alias("name"), F.col("f.ecosystem").alias("ecosystem")).agg(F.min_by("f", F.struct("f.rank", "f.version")).alias("f"))
+    return first.select("name", "ecosystem", F.col("f.version").alias("version"), F.col("f.detected_from").alias("detected_from"), F.when(F.col("dir") == "", "root").otherwise(F.col("dir")).alias("scope"))
+
+
+def framework_edges(found: DataFrame) -> DataFrame:
+    """USES_FRAMEWORK edges (confidence 0.9) from packages and the root folder to framework:<ecosystem>:<name>:<scope>."""
+    owner = F.when(F.col("scope") == "root", "folder:").otherwise(F.concat(F.lit("pkg:"), "scope"))
+    return edges_of(found, owner, F.concat_ws(":", F.lit("framework"), "ecosystem", "name", "scope"), "USES_FRAMEWORK", 0.9)
 
 
 # Secret patterns as (name, pattern, severity), and security-relevant code as (category, pattern, severity).
@@ -304,11 +404,12 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_files")).withColumn("rank", severity_rank(F.col("severity")))
 
 
-# Name hints of design patterns as (pattern, category, positive hints, negative hints).
+#: Hints of design patterns as (pattern, category, positive hints, negative hints): text patterns of this library, for lack of syntax trees.
 PATTERNS = (
     ("singleton", "creational", (r"getInstance", r"static\s+.*\binstance\b", r"private\s+constructor|private\s+\w+\s*\(\s*\)"), (r"\bnew\s+\w+\s*\(.*\bnew\b",)),
     ("factory-method", "creational", (r"\b(?:create|make|build)[A-Z]\w*\s*\(", r"Factory\b"), (r"Builder\b",)),
     ("builder", "creational", (r"Builder\b", r"\bbuild\s*\(\s*\)", r"return\s+(?:this|self)\b"), ()),
+    ("abstract-factory", "creational", (r"Factory\b", r"(?:interface|abstract\s+class)\s+\w*Factory\b", r"(?s)\bcreate[A-Z]\w*\s*\(.*\bcreate[A-Z]\w*\s*\("), ()),
     ("prototype", "creational", (r"\bclone\s*\(",), ()),
     ("adapter", "structural", (r"Adapter\b", r"adaptee"), ()),
     ("decorator", "structural", (r"Decorator\b", r"wrapped|wrappee"), ()),
@@ -380,10 +481,52 @@ def raise_confidence(calls: DataFrame, same_file: str = "same_file", imported: s
     return calls.withColumn("confidence", F.greatest("confidence", tier))
 
 
+def _linearized(bases: dict[str, list[str]]) -> dict[str, list[str] | None]:
+    """C3 of every class in order of inheritance, without recursion; None where the order contradicts itself or a cycle lies above."""
+    names = {*bases, *(b for bs in bases.values() for b in bs)}
+    waiting = {c: len(set(bases.get(c, ()))) for c in names}
+    heirs: dict[str, set[str]] = {}
+    for c, bs in bases.items():
+        for b in bs:
+            heirs.setdefault(b, set()).add(c)
+    ready, known = sorted(c for c in names if not waiting[c]), {}
+    for c in ready:
+        lists = [known[b] for b in bases.get(c, ())]
+        known[c] = None if any(x is None for x in lists) else _merged(c, [*lists, bases.get(c, [])])
+        for h in sorted(heirs.get(c, ())):
+            waiting[h] -= 1
+            if not waiting[h]:
+                ready.append(h)
+    return known
+
+
+def _merged(c: str, lists: list[list[str]]) -> list[str] | None:
+    """The first head that is in no other list's rest, again and again; rests are counted, not searched."""
+    at = [0] * len(lists)
+    later: dict[str, int] = {}
+    for x in lists:
+        for name in x[1:]:
+            later[name] = later.get(name, 0) + 1
+    out = [c]
+    while True:
+        open_lists = [k for k, x in enumerate(lists) if at[k] < len(x)]
+        if not open_lists:
+            return out
+        head = next((lists[k][at[k]] for k in open_lists if not later.get(lists[k][at[k]])), None)
+        if head is None:
+            return None
+        out.append(head)
+        for k in open_lists:
+            if lists[k][at[k]] == head:
+                at[k] += 1
+                if at[k] < len(lists[k]):
+                    later[lists[k][at[k]]] -= 1
+
+
 def mro(extends: DataFrame, max_classes: int = 100_000) -> DataFrame:
     """class, mro, depth by C3 over (class, base, position); inconsistent or cyclic hierarchies fall back to first-seen breadth-first order.
 
-    A hierarchy (weakly connected) is one task; max_classes bounds it and raises beyond.
+    A hierarchy (weakly connected) is one task; max_classes bounds its classes and raises beyond.
     """
     from ..operators.components import star_components
     from ..storage import Workspace
@@ -392,38 +535,23 @@ def mro(extends: DataFrame, max_classes: int = 100_000) -> DataFrame:
     e = extends.join(cc.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_classes:
-            raise ValueError(f"a hierarchy has more than {max_classes} edges")
         bases: dict[str, list[str]] = {}
         for c, b in pdf.sort_values(["class", "position", "base"])[["class", "base"]].itertuples(index=False):
             bases.setdefault(c, []).append(b)
-        known: dict[str, list[str] | None] = {}
-
-        def c3(c: str, seen: frozenset) -> list[str] | None:
-            if c in known:
-                return known[c]
-            if c in seen:
-                return None
-            lists = [c3(b, seen | {c}) for b in bases.get(c, [])]
-            if any(x is None for x in lists):
-                return None
-            todo, out = [list(x) for x in lists] + [list(bases.get(c, []))], [c]
-            while todo := [x for x in todo if x]:
-                head = next((x[0] for x in todo if not any(x[0] in y[1:] for y in todo)), None)
-                if head is None:
-                    return None
-                out.append(head)
-                todo = [[h for h in x if h != head] for x in todo]
-            known[c] = out
-            return out
+        if len({*bases, *pdf["base"]}) > max_classes:
+            raise ValueError(f"a hierarchy has more than {max_classes} classes")
 
         def breadth(c: str) -> list[str]:
-            out = [c]
-            for x in out:
-                out += [b for b in bases.get(x, []) if b not in out]
-            return out
-
-        rows = [(c, c3(c, frozenset()) or breadth(c)) for c in sorted(bases)]
+            out = {c: None}
+            todo = [c]
+            for x in todo:
+                fresh = [b for b in dict.fromkeys(bases.get(x, [])) if b not in out]
+                out.update(dict.fromkeys(fresh))
+                todo += fresh
+            return list(out)
+
+        known = _linearized(bases)
+        rows = [(c, known.get(c) or breadth(c)) for c in sorted(bases)]
         return pd.DataFrame({"class": [c for c, _ in rows], "mro": [m for _, m in rows], "depth": [len(m) - 1 for _, m in rows]})
 
     return e.groupBy("component").applyInPandas(order, "class string, mro array<string>, depth long")

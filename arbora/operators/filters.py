@@ -57,13 +57,8 @@ def resolve_symbol(vertices: DataFrame, symbol: str, kind: str | None = None, pa
         found = found.where(F.contains("file_path", F.lit(path)))
     rank = F.when(F.col("id") == symbol, 1.0)
     rank = rank.when(F.lit(bool(kind)), 0.9).when(F.lit(bool(path)), 0.7).otherwise(0.5)
-    return found.select(*SYMBOL, rank.alias("relevance"), (F.count(F.lit(1)).over(_everything()) > 1).alias("ambiguous"))
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    many = found.agg((F.count(F.lit(1)) > 1).alias("ambiguous"))
+    return found.select(*SYMBOL, rank.alias("relevance")).crossJoin(F.broadcast(many))
 
 
 def confident(edges: DataFrame, least: float) -> DataFrame:

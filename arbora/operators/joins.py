@@ -137,6 +137,28 @@ def match_topics(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     return p.join(c, "topic").where("producer_repo <> consumer_repo").distinct().withColumn("confidence", F.lit(0.8))
 
 
+def cross_links(http: DataFrame, grpc: DataFrame, topics: DataFrame) -> DataFrame:
+    """All links between repos: kind, provider_repo, provider, consumer_repo, consumer, confidence (of paths: their Jaccard)."""
+    row = lambda df, kind, a, b, c, d, score: df.select(F.lit(kind).alias("kind"), F.col(a).alias("provider_repo"), F.col(b).alias("provider"), F.col(c).alias("consumer_repo"), F.col(d).alias("consumer"), F.col(score).cast("double").alias("confidence"))
+    out = row(http, "http", "provider_repo", "provider_path", "consumer_repo", "consumer_path", "jaccard")
+    out = out.unionByName(row(grpc, "grpc", "provider_repo", "provider_service", "consumer_repo", "consumer_service", "confidence"))
+    return out.unionByName(row(topics, "topic", "producer_repo", "topic", "consumer_repo", "topic", "confidence"))
+
+
+def contract_counts(repos: DataFrame, providers: DataFrame, consumers: DataFrame, links: DataFrame) -> DataFrame:
+    """repo, n_providers, n_consumers, n_links of every repo; a link counts once for each of its repos."""
+    n = lambda df, name: df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+    sides = links.select(F.explode(F.array_distinct(F.array("provider_repo", "consumer_repo"))).alias("repo"))
+    out = repos.select("repo").distinct().join(n(providers, "n_providers"), "repo", "left").join(n(consumers, "n_consumers"), "repo", "left").join(n(sides, "n_links"), "repo", "left")
+    return out.na.fill(0, ["n_providers", "n_consumers", "n_links"])
+
+
+def save_contracts(path: str, **tables: DataFrame) -> None:
+    """Overwrites the group's contracts (providers, consumers, links, shared libraries), a table each."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def match_fuzzy(providers: DataFrame, consumers: DataFrame, linked: DataFrame, least: float = 0.7) -> DataFrame:
     """Still unlinked provider/consumer (id, repo, vector) with cosine >= least across repos.
 

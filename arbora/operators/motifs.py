@@ -85,6 +85,34 @@ def typed_pairs(g: PropertyGraph) -> DataFrame:
     return e.groupBy(F.concat_ws(":", "ls", "type", "lt").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Patterns of typed edge counts as (name, least count, multiple of it that is certain, key patterns whose counts are added).
+# A key that fits several of a pattern's entries counts for each.
+TYPED_PATTERNS = (
+    ("Controller-Fat", 6, 3, ("^Class:CALLS:", "^Class:CALLS:Method")),
+    ("Inheritance-Deep", 8, 2, ("^Class:EXTENDS:",)),
+    ("Callback-Hell", 8, 3, ("^Function:CALLS:Function", "^Function:CALLS:Method", "^Method:CALLS:Function", "^Method:CALLS:Method")),
+    ("Interface-Segregation-Violation", 8, 2, ("^Interface:HAS_METHOD:",)),
+    ("Circular-Import", 3, 2, ("^Module:IMPORTS:",)),
+    ("Cross-Cutting-Concern", 6, 2, (":DECORATES:", ":USES:")),
+)
+DATA_CLUMP, LEAST_TYPED = 4, 5
+
+
+def typed_patterns(pairs: DataFrame) -> DataFrame:
+    """name, confidence, total of the typed patterns that counts by key (key, n) show; none under LEAST_TYPED edges.
+
+    Data-Clump needs DATA_CLUMP uses among classes, or of anything by classes; its total adds both.
+    """
+    key, n = F.col("key"), F.col("n")
+    total = lambda *parts: sum((F.coalesce(F.sum(F.when(key.rlike(p), n)), F.lit(0)) for p in parts), F.lit(0))
+    one = lambda name, t, least, sure: F.when(t >= least, F.struct(F.lit(name).alias("name"), F.least(F.lit(1.0), t / F.lit(float(sure))).alias("confidence"), t.cast("bigint").alias("total")))
+    sums = pairs.agg(F.sum("n").alias("every"), total("^Class:USES:").alias("uses"), total("^Class:USES:Class").alias("among"), *(total(*parts).alias(f"t{k}") for k, (_, _, _, parts) in enumerate(TYPED_PATTERNS)))
+    both = F.col("uses") + F.col("among")
+    clump = F.when(F.greatest("uses", "among") >= DATA_CLUMP, one("Data-Clump", both, 0, DATA_CLUMP * 2))
+    found = [clump, *(one(name, F.col(f"t{k}"), least, least * sure) for k, (name, least, sure, _) in enumerate(TYPED_PATTERNS))]
+    return sums.where(F.col("every") >= LEAST_TYPED).select(F.explode(F.array_compact(F.array(*found))).alias("p")).select("p.*")
+
+
 def typed_triangles(g: PropertyGraph) -> DataFrame:
     """key: sorted labels joined by colons, a bar, sorted edge types joined by dashes; the smallest type counts per pair."""
     kinds = g.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("type").alias("type"))

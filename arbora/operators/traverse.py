@@ -65,11 +65,16 @@ def neighbourhood(g: PropertyGraph, ids: DataFrame) -> DataFrame:
     return both.groupBy("id", "direction", F.lower("type").alias("type")).agg(F.sort_array(F.collect_list(F.coalesce("name", "other"))).alias("names"), F.count(F.lit(1)).alias("n"))
 
 
-def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_depth: int = 5, least: float = 0.3, group: str | None = None) -> DataFrame:
-    """Vertices reached from the seeds with the depth of the first visit; STEP_IN_PROCESS is no path; the seeds are left out."""
+def impact(g: PropertyGraph, seeds: DataFrame, direction: str = "upstream", max_depth: int = 5, least: float = 0.3, group: str | None = None, cap: int | None = None) -> DataFrame:
+    """Vertices reached from the seeds with the depth of the first visit; STEP_IN_PROCESS is no path; the seeds are left out.
+
+    cap, the reports' limit (500 there), keeps the first so many by depth, then id; without it all come.
+    """
     e = oriented(g.edges.where((F.col("confidence") >= least) & (F.col("type") != "STEP_IN_PROCESS")), direction)
     work = Workspace(g.spark, "impact")
     found = frontier_bfs(e, seeds, max_depth, work, group).where("depth > 0")
+    if cap is not None:
+        found = found.orderBy("depth", "id", *([group] if group else [])).limit(cap)
     return found.join(g.vertices.select(*SYMBOL), "id", "left")
 
 
@@ -83,15 +88,16 @@ def depth_groups(reached: DataFrame) -> DataFrame:
     return reached.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).withColumn("risk", depth_risk(F.col("depth")))
 
 
-def impact_probability(g: PropertyGraph, seed: str, direction: str = "upstream", max_depth: int = 5, schedule: str = "linear") -> DataFrame:
+def impact_probability(g: PropertyGraph, seed: str, direction: str = "upstream", max_depth: int = 5, schedule: str = "linear", cap: int | None = None) -> DataFrame:
     """id, score, n_paths, depth, category: confidence that decays along edges, paths fused by noisy-or.
 
     A vertex is expanded once, on the level of its discovery, with its score at
     the end of that level (level-synchronous, so no queue order matters). Later
-    paths into it still count for its own score.
+    paths into it still count for its own score. cap, the report's limit (100
+    there), keeps the first so many by score, then id; without it all come.
     """
     work = Workspace(g.spark, "probability")
-    e = oriented(g.edges, direction).select("src", "dst", (edge_decay(F.col("type")) * F.greatest("confidence", F.lit(0.1))).alias("w"))
+    e = work.save(oriented(g.edges, direction).select("src", "dst", (edge_decay(F.col("type")) * F.greatest("confidence", F.lit(0.1))).alias("w")), "edges")
     level = g.spark.createDataFrame([(seed, 1.0)], "id string, score double")
     found = None
     for depth in range(1, max_depth + 1):
@@ -107,13 +113,16 @@ def impact_probability(g: PropertyGraph, seed: str, direction: str = "upstream",
                 "id", (F.coalesce("miss0", F.lit(1.0)) * F.coalesce("miss", F.lit(1.0))).alias("miss"), (F.coalesce("n0", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("depth0", F.lit(depth)).alias("depth")
             )
             found = work.save(merged, f"level-{depth}")
+            work.drop(f"level-{depth - 1}")
             fresh = found.where(F.col("depth") == depth)
         level = fresh.select("id", (1 - F.col("miss")).alias("score"))
         if level.isEmpty():
             break
+    work.drop("edges")
     score = round_half_up(1 - F.col("miss"), 3)
     category = F.when(score >= 0.8, "direct").when(score >= 0.4, "transitive").otherwise("low-risk")
-    return found.select("id", score.alias("score"), F.col("n").alias("n_paths"), "depth", category.alias("category"))
+    out = found.select("id", score.alias("score"), F.col("n").alias("n_paths"), "depth", category.alias("category"))
+    return out if cap is None else out.orderBy(F.desc("score"), "id").limit(cap)
 
 
 def shortest_paths(g: PropertyGraph, source: str, directed: bool = False, max_depth: int = 50) -> DataFrame:

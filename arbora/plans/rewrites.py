@@ -61,10 +61,11 @@ def frontier_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, work: Works
 
     seeds has id (and group); a group is a search of its own. Each level is one
     join of the frontier with the edges and one anti-join with what was seen;
-    levels are written to the shared folder, so no lineage grows.
+    the edges are made once, levels are written to the shared folder, so neither
+    is planned again and no lineage grows.
     """
     keys = [group] if group else []
-    pairs = edges.select("src", "dst").distinct()
+    pairs = work.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "pairs")
     level = work.save(seeds.select(*keys, "id").distinct().withColumn("depth", F.lit(0)), "level-0")
     seen = level
     for depth in range(1, max_depth + 1):
@@ -73,9 +74,24 @@ def frontier_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, work: Works
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    work.drop("pairs")
     return seen
 
 
+def number_rows(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with a column of places from 0 in the given order (which must be total, or equal rows share their places at random).
+
+    Numbered within ranges, then shifted. The numbered ranges are written once and
+    read by both steps, so that no second sampling moves their borders.
+    """
+    work = Workspace(rows.sparkSession, "numbered")
+    parts = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    local = work.save(parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1), "ranges")
+    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return local.join(F.broadcast(before), "_p").select(*rows.columns, (F.col("_before") + F.col("_k")).alias(name))
+
+
 def near_vectors(a: DataFrame, b: DataFrame | None, least: float, strict: bool = False, block_rows: int = 4096) -> DataFrame:
     """Pairs of rows of a and b (of unordered rows of a, if b is None) whose ``vector`` columns may have cosine >= least.
 

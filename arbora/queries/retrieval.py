@@ -47,8 +47,7 @@ TFIDF = f"with {TOKENS}, c as (select id, term, count(*) as c from t group by 1,
 
 @query("a19_tfidf_weights", f"{TFIDF} select term, count(*) as n, round(sum(w), 6) as w from w group by term")
 def a19(spark, d):
-    w, _ = R.tfidf_index(docs(spark, d))
-    return w.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("w"))
+    return R.TfidfIndex(docs(spark, d)).weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("w"))
 
 
 @query(
@@ -56,7 +55,7 @@ def a19(spark, d):
     f"{TFIDF}, q as (select term, count(*) as c from (values ('thblees'), ('sotion'), ('idiot'), ('idiot'), ('worthless'), ('clown')) x(term) group by 1), qw as (select q.term, c * ln((n + 1) / (df + 1)) as qw from q join df on q.term = df.term, nn), qn as (select sqrt(sum(qw * qw)) as qn from qw), s as (select w.id, sum(w * qw) as dot, count(*) as n_terms from w join qw on w.term = qw.term group by 1) select s.id, round(dot / (norm * qn), 7) as score, n_terms from s join nm on s.id = nm.id, qn where dot > 0 order by round(dot / (norm * qn), 9) desc, s.id limit 10",
 )
 def r04(spark, d):
-    return R.tfidf_search(docs(spark, d), "thblees sotion idiot idiot worthless clown").select("id", F.round("score", 7).alias("score"), "n_terms")
+    return R.TfidfIndex(docs(spark, d)).search("thblees sotion idiot idiot worthless clown").select("id", F.round("score", 7).alias("score"), "n_terms")
 
 
 def first_vector(spark, d):
@@ -125,9 +124,9 @@ def f01(spark, d):
     return docs(spark, d).select("id", F.explode(X.tokens(F.col("text"))).alias("t")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("n_distinct"))
 
 
-@query("f02_key_terms", f"select p_partkey, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9_]+'), lambda x: length(x) > 2 and not list_contains([{STOPS}], x)))) as terms from part")
+@query("f02_key_terms", f"select p_partkey, list_sort(list_filter(regexp_split_to_array(lower(p_name || ' of the ' || p_type || ' to find a p1 by'), '[^a-z0-9_]+'), lambda x: length(x) > 1 and x not in ('of', 'the', 'to', 'find', 'by'))) as terms from part")
 def f02(spark, d):
-    return V.sql(spark, d, "select p_partkey, p_name || ' ' || p_type as t from part").select("p_partkey", F.sort_array(X.key_terms(F.col("t"))).alias("terms"))
+    return V.sql(spark, d, "select p_partkey, p_name || ' of the ' || p_type || ' to find a p1 by' as t from part").select("p_partkey", F.sort_array(X.key_terms(F.col("t"))).alias("terms"))
 
 
 @query("f04_porter_stem")
@@ -147,9 +146,18 @@ def f06(spark, d):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.cosine(F.col("va"), F.col("vb")), 7).alias("c"))
 
 
-@query("f07_bag_of_words")
+CODE_POINTS = "[ascii(c) for c in string_split(w, '')]"
+HASH = f"list_reduce([0::bigint] || {CODE_POINTS}, lambda h, c: (h * 31 + c) % 4294967296)"
+
+
+@query(
+    "f07_bag_of_words",
+    f"with t as (select p_partkey as id, unnest(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: length(x) > 1)) as w from part), h as (select id, {HASH} as h from t), s as (select id, abs(case when h >= 2147483648 then h - 4294967296 else h end) % 8 as s, count(*)::double as c from h group by 1, 2), n as (select id, sqrt(sum(c * c)) as n from s group by 1) select id, s::bigint as slot, round(c / n, 9) as x from s join n using (id)",
+)
 def f07(spark, d):
-    return docs(spark, d).select("id", X.bag_of_words(X.tokens(F.col("text")), 8).alias("v"))
+    t = V.sql(spark, d, "select p_partkey as id, p_name || ' ' || p_type as t from part")
+    v = t.select("id", X.bag_of_words(X.plain_tokens(F.col("t")), 8).alias("v")).select("id", F.posexplode("v").alias("slot", "x")).where("x > 0")
+    return v.select("id", F.col("slot").cast("bigint").alias("slot"), F.round("x", 9).alias("x"))
 
 
 @query("f10_hashes", "select doc_id::varchar as id, sha256(text) as h, sha1(text) as s from documents")
@@ -188,3 +196,43 @@ def f25(spark, d):
 def f27(spark, d):
     t = V.sql(spark, d, "select p_partkey, p_name || '[' || p_brand || ']' as n from part")
     return t.select("p_partkey", S.mermaid_id(F.col("n")).alias("i"), S.mermaid_label(F.col("n")).alias("l"))
+
+
+@query("f09_node_text", "select doc_id, sha1(case when doc_id % 3 = 0 or length(text) = 0 then 'Section: ' || source else substr(text, 1, 2048) end) as hash from documents")
+def f09(spark, d):
+    t = V.sql(spark, d, "select doc_id, source, case when doc_id % 3 = 0 then null else text end as text from documents")
+    return t.select("doc_id", F.sha1(X.node_text(F.col("text"), F.lit("Section"), F.col("source"))).alias("hash"))
+
+
+@query(
+    "r03_update_index",
+    "with t as (select doc_id::varchar as id, case when doc_id % 5 = 0 then 'fresh fresh words' else text end as text from documents where doc_id % 7 <> 0), w as (select id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from t) select id, term, count(*) as tf from w group by 1, 2",
+)
+def r03(spark, d):
+    index = R.postings(docs(spark, d))
+    changed = V.sql(spark, d, "select cast(doc_id as string) as id, 'fresh fresh words' as text from documents where doc_id % 5 = 0 and doc_id % 7 <> 0")
+    return R.update_postings(index, changed, V.sql(spark, d, "select cast(doc_id as string) as id from documents where doc_id % 7 = 0"))
+
+
+@query(
+    "r11_provider_chain",
+    "select vec_id as id, case when vec_id % 3 = 0 then 0 when vec_id % 5 = 0 then 1 else -1 end as provider, round(case when vec_id % 3 = 0 or vec_id % 5 = 0 then embedding[1]::double else 0 end, 7) as x from embeddings",
+)
+def r11(spark, d):
+    v = V.sql(spark, d, "select vec_id as id, embedding as vector from embeddings")
+    dims = len(first_vector(spark, d))
+    remote = v.where("id % 3 = 0").unionByName(v.where("id % 3 = 1").select("id", F.slice("vector", 1, 3).alias("vector")))
+    out = R.first_vectors(v, [remote, v.where("id % 5 = 0")], dims)
+    return out.select("id", "provider", F.round(F.col("vector")[0], 7).alias("x"))
+
+
+PART_WORDS = "w as (select 'part:' || p_partkey as id, unnest(regexp_extract_all(lower('part:' || p_partkey || ' Function ' || p_name || ' world/parts/' || p_brand), '[a-z0-9_]+')) as term from part), p as (select id, term, count(*) as tf from w group by 1, 2), n as (select id, sum(tf) as len from p group by 1), st as (select count(*)::double as n, avg(len) as mean from n)"
+
+
+@query(
+    "r15_retrieve_context",
+    f"with {PART_WORDS}, h as (select id, 0 as q, sum(tf) as tf from p where starts_with(term, 'red') group by id union all select id, 1, sum(tf) from p where starts_with(term, 'bolt') group by id), df as (select q, count(*)::double as df from h group by 1), s as (select h.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score, count(*) as k from h join df on h.q = df.q join n on h.id = n.id, st group by 1), r as (select id, score, row_number() over (order by round(score, 9) desc, id) as place from s where k = 2 qualify place <= 10) select place, id, place || '. **' || p_name || '** (Function) in `world/parts/' || p_brand || '` [score: ' || printf('%.3f', score) || ']' as line from r join part on id = 'part:' || p_partkey",
+)
+def r15(spark, d):
+    v = V.commerce(spark, d).vertices.where("label = 'Function'")
+    return R.retrieve_context(v, "red bolt").select("place", "id", "line")

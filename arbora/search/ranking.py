@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine
 from ..functions.text import query_terms, stem, tokens
+from ..storage import Workspace
 
 K1, B = 1.2, 0.75
 
@@ -50,30 +51,66 @@ def bm25_search(index: DataFrame, query: str, limit: int = 20, stemming: bool =
     return ranked.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
-def tfidf_index(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Weights (id, term, w) = tf * ln(N / (df + 1)), tf a share of the text's tokens, and norms (id, norm; 0 becomes 1)."""
-    words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
-    size = tf.groupBy("id").agg(F.sum("c").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(size, "id").join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.col("c") / F.col("len") * F.log(F.col("n") / (F.col("df") + 1))).alias("w"), "df")
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).select("id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm"))
-    return w, norm
-
-
-def tfidf_search(texts: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(id, score, n_terms) by cosine of TF-IDF vectors; query weights use ln((N + 1) / (df + 1)); only scores over 0."""
-    w, norm = tfidf_index(texts)
-    one = texts.sparkSession.createDataFrame([(query,)], "text string")
-    q = one.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    df = w.groupBy("term").agg(F.max("df").alias("df"))
-    qw = q.join(df, "term").crossJoin(F.broadcast(n)).select("term", (F.col("c") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("qw"))
-    qn = qw.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    hit = w.join(F.broadcast(qw), "term").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count(F.lit(1)).alias("n_terms"))
-    score = hit.join(norm, "id").crossJoin(F.broadcast(qn)).select("id", F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qn")), F.lit(0.0)).alias("score"), "n_terms")
-    return score.where("score > 0").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+def update_postings(index: DataFrame, texts: DataFrame, removed: DataFrame | None = None, stemming: bool = False) -> DataFrame:
+    """The index without the ids of texts and of removed (id), plus the postings of texts: vertices indexed again or dropped."""
+    gone = texts.select("id") if removed is None else texts.select("id").unionByName(removed.select("id"))
+    return index.join(gone.distinct(), "id", "left_anti").select("id", "term", "tf").unionByName(postings(texts, stemming))
+
+
+def retrieve_context(vertices: DataFrame, query: str, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """(place, id, name, label, file_path, score, line): the best vertices for a question and the numbered line that each adds to a prompt."""
+    index = postings(field_texts(vertices)) if index is None else index
+    hits = ranked(bm25_search(index, query, limit)).join(vertices.select("id", "name", "label", "file_path"), "id")
+    line = F.concat(F.col("place"), F.lit(". **"), "name", F.lit("** ("), "label", F.lit(") in `"), F.coalesce("file_path", F.lit("")), F.lit("` [score: "), F.format_string("%.3f", "score"), F.lit("]"))
+    return hits.select("place", "id", "name", "label", "file_path", "score", line.alias("line"))
+
+
+class TfidfIndex:
+    """A saved TF-IDF index of texts (id, text): tables weights (id, term, w, df) and norms (id, norm, 0 becomes 1).
+
+    w = tf * ln(N / (df + 1)), tf a share of the text's tokens. Each table is
+    computed once and lies in the shared folder, weights in order of term, so that
+    a search reads the row groups of its terms only.
+    """
+
+    def __init__(self, texts: DataFrame):
+        work = Workspace(texts.sparkSession, "tfidf")
+        words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+        tf = work.save(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("c")), "counts")
+        size = tf.groupBy("id").agg(F.sum("c").alias("len"))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        self.n = texts.count()
+        w = (F.col("c") / F.col("len") * F.log(F.lit(float(self.n)) / (F.col("df") + 1))).alias("w")
+        self.weights = work.save(tf.join(size, "id").join(df, "term").select("id", "term", w, "df").sortWithinPartitions("term"), "weights")
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+        self.norms = work.save(self.weights.groupBy("id").agg(norm.alias("norm")).select("id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm")), "norms")
+        work.drop("counts")
+
+    def search(self, query: str, limit: int = 10) -> DataFrame:
+        """(id, score, n_terms) by cosine; query weights use ln((N + 1) / (df + 1)); only scores over 0."""
+        spark = self.weights.sparkSession
+        counts = {r.term: r.c for r in spark.createDataFrame([(query,)], "text string").select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("c")).collect()}
+        if not counts:
+            return self.norms.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_terms")).limit(0)
+        asked = spark.createDataFrame(sorted(counts.items()), "term string, c long")
+        hit = self.weights.where(F.col("term").isin(*counts)).join(F.broadcast(asked), "term")
+        qw = F.col("c") * F.log((F.lit(float(self.n)) + 1) / (F.col("df") + 1))
+        hit = hit.select("id", "term", "w", qw.alias("qw"))
+        qn = hit.groupBy("term").agg(F.max("qw").alias("qw")).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+        dots = hit.groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.count(F.lit(1)).alias("n_terms"))
+        score = dots.join(self.norms, "id").crossJoin(F.broadcast(qn)).select("id", F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("qn")), F.lit(0.0)).alias("score"), "n_terms")
+        return score.where("score > 0").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+
+
+def first_vectors(texts: DataFrame, providers: list[DataFrame], dims: int) -> DataFrame:
+    """(id, vector, provider): of each text the vector of the first provider (id, vector) that has one of dims numbers, else zeros (provider -1)."""
+    out = texts.select("id")
+    fits = []
+    for k, p in enumerate(providers):
+        out = out.join(p.select("id", F.col("vector").cast("array<double>").alias(f"v{k}")), "id", "left")
+        fits.append(F.when(F.size(f"v{k}") == dims, F.struct(F.col(f"v{k}").alias("vector"), F.lit(k).alias("provider"))))
+    zero = F.struct(F.array_repeat(F.lit(0.0), dims).alias("vector"), F.lit(-1).alias("provider"))
+    return out.select("id", F.coalesce(*fits, zero).alias("p")).select("id", "p.vector", "p.provider")
 
 
 def vector_search(vectors: DataFrame, query: list[float], limit: int = 10, strict: bool = True) -> DataFrame:

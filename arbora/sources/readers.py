@@ -208,6 +208,44 @@ def read_contract_manifests(files: DataFrame) -> DataFrame:
     return http.unionByName(services).unionByName(grpc)
 
 
+def read_aliases(configs: DataFrame) -> DataFrame:
+    """Import aliases of compiler configs (scope, content): scope, place, prefix, target, wildcard, in order of declaration.
+
+    The first target of an alias counts, without a leading ./; a star cuts alias
+    and target, an exact alias loses its target's extension. Broken JSON gives none.
+    """
+    paths = F.from_json(F.get_json_object("content", "$.compilerOptions.paths"), "map<string,array<string>>")
+    rows = configs.select("scope", F.posexplode(F.map_entries(paths)).alias("place", "e")).select("scope", "place", F.col("e.key").alias("alias"), F.regexp_replace(F.try_element_at(F.col("e.value"), F.lit(1)), r"^\./", "").alias("to")).where("to is not null")
+    star = F.contains("alias", F.lit("*"))
+    before = lambda c: F.regexp_extract(c, r"^[^*]*", 0)
+    target = F.when(star, before("to")).otherwise(F.regexp_replace("to", r"\.(?:ts|tsx|js|jsx|mjs|cjs)$", ""))
+    return rows.select("scope", "place", before("alias").alias("prefix"), target.alias("target"), star.alias("wildcard"))
+
+
+def resolve_aliases(imports: DataFrame, aliases: DataFrame, spec: str = "spec") -> DataFrame:
+    """imports (scope and a column of import paths) with ``resolved``: the first alias of the scope that fits replaces its prefix, else the path stays.
+
+    Aliases of a scope are one array beside its imports; they are as long as the config that declares them.
+    """
+    listed = aliases.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("place", "prefix", "target", "wildcard"))).alias("_aliases"))
+    s = F.col(spec)
+    fits = F.try_element_at(F.filter("_aliases", lambda a: F.when(a["wildcard"], F.startswith(s, a["prefix"])).otherwise(s == a["prefix"])), F.lit(1))
+    rest = F.regexp_replace(F.substring(s, F.length("_fit.prefix") + 1, F.length(s)), r"\.(?:ts|tsx|js|jsx|mjs|cjs)$", "")
+    resolved = F.when(F.col("_fit").isNull(), s).when(F.col("_fit.wildcard"), F.concat("_fit.target", rest)).otherwise(F.col("_fit.target"))
+    return imports.join(listed, "scope", "left").withColumn("_fit", fits).withColumn("resolved", resolved).drop("_aliases", "_fit")
+
+
+def changed_paths(diffs: DataFrame, text_col: str = "text") -> DataFrame:
+    """file_path of every file that diffs name, once: lists of names, or unified diffs (the new name, the old one of a deleted file)."""
+    lines = diffs.select(F.col(text_col).alias("t"), F.contains(text_col, F.lit("diff --git ")).alias("unified"))
+    named = F.regexp_extract_all("t", F.lit(r"(?m)^([^\r\n]+?)[ \t]*\r?$"), F.lit(1))
+    new = F.regexp_extract_all("t", F.lit(r"(?m)^\+\+\+ b/([^\r\n\t]+)"), F.lit(1))
+    gone = F.regexp_extract_all("t", F.lit(r"(?m)^--- a/([^\r\n\t]+)\r?\n\+\+\+ /dev/null"), F.lit(1))
+    moved = F.regexp_extract_all("t", F.lit(r"(?m)^rename to ([^\r\n]+)"), F.lit(1))
+    found = F.when(F.col("unified"), F.concat(new, gone, moved)).otherwise(F.transform(named, F.trim))
+    return lines.select(F.explode(found).alias("file_path")).where("file_path <> ''").distinct()
+
+
 # Labels and edge types that differ in CSV exports of another store; "" is skipped.
 CSV_LABELS = {"method": "Function", "constructor": "Function"}
 CSV_TYPES = {"DEFINES": "CONTAINS", "FETCHES": ""}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import mermaid_id, mermaid_label
 from ..model import COUPLING, PropertyGraph
+from ..plans.rewrites import number_rows
 
 
 def write_csv(g: PropertyGraph, path: str) -> None:
@@ -44,12 +45,8 @@ def graphml_rows(g: PropertyGraph) -> DataFrame:
 
 
 def index_vertices(vertices: DataFrame) -> DataFrame:
-    """id, index from 0 in order of id: numbered within ranges, then shifted, so no task sees all rows."""
-    parts = vertices.select("id").distinct().repartitionByRange("id").withColumn("p", F.spark_partition_id())
-    local = parts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1)
-    sizes = local.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    before = sizes.select("p", (F.sum("n").over(Window.orderBy("first")) - F.col("n")).alias("before"))
-    return local.join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("k")).alias("index"))
+    """id, index from 0 in order of id; no task sees all rows."""
+    return number_rows(vertices.select("id").distinct(), ["id"], "index")
 
 
 def edge_index(g: PropertyGraph) -> DataFrame:
@@ -105,3 +102,23 @@ def mermaid_lines(edges: DataFrame) -> DataFrame:
     """A flowchart line for each (src, dst, type)."""
     label = lambda c: F.concat(mermaid_id(F.col(c)), F.lit('["'), mermaid_label(F.col(c)), F.lit('"]'))
     return edges.select(F.concat(label("src"), F.lit(" -->|"), F.col("type"), F.lit("| "), label("dst")).alias("line"))
+
+
+def node_link_rows(g: PropertyGraph) -> DataFrame:
+    """id, record: one vertex with its properties and outgoing links as JSON, the node-link form that graph libraries read."""
+    links = g.edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("target"), "type", "confidence"))).alias("links"))
+    both = g.vertices.join(links, "id", "left")
+    return both.select("id", F.to_json(F.struct(*g.vertices.columns, F.coalesce("links", F.array().cast(links.schema["links"].dataType)).alias("links"))).alias("record"))
+
+
+def read_node_link(rows: DataFrame, vertex_schema: str = "id string, label string, name string, file_path string") -> PropertyGraph:
+    """The graph of node_link_rows again."""
+    parsed = rows.select(F.from_json("record", f"{vertex_schema}, links array<struct<target:string,type:string,confidence:double>>").alias("r")).select("r.*")
+    edges = parsed.select(F.col("id").alias("src"), F.explode("links").alias("l")).select("src", F.col("l.target").alias("dst"), "l.type", "l.confidence")
+    return PropertyGraph(parsed.drop("links"), edges)
+
+
+def adjacency_lists(g: PropertyGraph) -> DataFrame:
+    """id, neighbours: distinct targets in order, for every vertex; edges to non-vertices are left out."""
+    out = g.without_dangling().edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
+    return g.vertices.select("id").join(out, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))

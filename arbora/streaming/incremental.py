@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
@@ -21,6 +23,41 @@ def file_changes(known: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "file_path", "full_outer").select("file_path", status.alias("status"))
 
 
+#: The layout of the hash table; another one counts as none.
+HASHES_VERSION = 1
+
+
+def save_hashes(inventory: DataFrame, path: str, commit: str | None = None) -> None:
+    """Writes an inventory (file_path, hash) with the version and commit that later runs compare with."""
+    inventory.select("file_path", "hash", F.lit(HASHES_VERSION).alias("version"), F.lit(commit).cast("string").alias("commit")).write.mode("overwrite").parquet(path)
+
+
+def load_hashes(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved inventory (file_path, hash, commit); None where it is missing, unreadable or of another version, which asks for a full run."""
+    try:
+        held = spark.read.parquet(path)
+        if not {"file_path", "hash", "version", "commit"} <= set(held.columns) or held.where(F.col("version") != HASHES_VERSION).limit(1).count():
+            return None
+    except (AnalysisException, Py4JJavaError):
+        return None
+    return held.select("file_path", "hash", "commit")
+
+
+def append_snapshot(metrics: DataFrame, path: str, at: str, **labels: str | None) -> None:
+    """Adds one run's metrics (one row) to the snapshots at path, with its ISO time and labels such as branch and commit."""
+    metrics.withColumns({"at": F.to_timestamp(F.lit(at)), **{k: F.lit(v).cast("string") for k, v in labels.items()}}).write.mode("append").parquet(path)
+
+
+def load_snapshots(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, limit: int | None = None) -> DataFrame:
+    """Snapshots in [since, until], oldest first; limit keeps the newest ones."""
+    s = spark.read.option("mergeSchema", True).parquet(path)
+    if since is not None:
+        s = s.where(F.col("at") >= F.to_timestamp(F.lit(since)))
+    if until is not None:
+        s = s.where(F.col("at") <= F.to_timestamp(F.lit(until)))
+    return (s if limit is None else s.orderBy(F.desc("at")).limit(limit)).orderBy("at")
+
+
 def refresh(g: PropertyGraph, changes: DataFrame, rebuild: Callable[[DataFrame], PropertyGraph]) -> PropertyGraph:
     """Drops what changed or deleted files gave, rebuilds from changed and added ones, and adds that."""
     gone = changes.where("status in ('changed', 'deleted')").select("file_path")

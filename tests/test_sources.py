@@ -3,6 +3,7 @@
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from arbora.functions.text import porter_stem, stem
@@ -59,7 +60,13 @@ def test_manifests(spark):
     }
     got = {(r.name, r.version, r.ecosystem) for r in R.read_manifests(files(spark, tree)).collect()}
     assert got == {("react", "^18.2.0", "npm"), ("jest", "29", "npm"), ("flask", "2.0", "PyPI"), ("numpy", "1.2", "PyPI"), ("github.com/gin-gonic/gin", "1.9.0", "Go"), ("tokio", "1.0", "crates.io"), ("serde", "1", "crates.io")}
-    assert {r.framework for r in N.frameworks(R.read_manifests(files(spark, tree))).collect()} >= {"React", "Flask", "Gin", "Tokio"}
+    tree |= {"web/package.json": '{"dependencies": {"express": "4", "next": "13"}, "devDependencies": {"express": "5"}}', "lib/requirements.txt": "django\n", "api/pyproject.toml": "flask = 1", "api/requirements.txt": "Flask\n# django\n"}
+    got = {(r["name"], r.ecosystem, r.version, r.detected_from, r.scope) for r in N.frameworks(files(spark, tree)).collect()}
+    assert got == {
+        ("gin", "go", None, "go.mod", "root"), ("tokio", "rust", None, "Cargo.toml", "root"), ("express", "javascript", "5", "package.json", "web"), ("next", "javascript", "13", "package.json", "web"),
+        ("flask", "python", None, "requirements.txt", "api"),
+    }
+    assert {(r.src, r.dst) for r in N.framework_edges(N.frameworks(files(spark, tree))).collect()} >= {("folder:", "framework:go:gin:root"), ("pkg:api", "framework:python:flask:api")}
     adv = spark.createDataFrame([("flask", "PyPI", "2.0", "A-1", "high")], "name string, ecosystem string, vulnerable_version string, advisory string, severity string")
     assert R.known_vulnerabilities(R.read_manifests(files(spark, tree)), adv).where("advisory is not null").count() == 1
 
@@ -133,11 +140,13 @@ def test_declared_symbols(spark):
 def test_routes_tools_models(spark):
     tree = {"a.js": "router.get('/u/:id', h)\nfetch('/u/1')\nserver.tool('t1', x)\nprisma.user.findMany()\n", "b.py": "@app.post('/p')\nclass U(db.Model): pass\n", "c.java": '@GetMapping("/j")\n', "s.proto": "rpc Get (A)"}
     f = files(spark, tree)
-    assert {(r.framework, r.method, r.path) for r in N.routes(f).collect()} >= {("express", "GET", "/u/:id"), ("fastapi", "POST", "/p"), ("spring", "GET", "/j")}
+    found = N.routes(f, every_file=True)
+    assert {(r.framework, r.method, r.path) for r in found.collect()} >= {("express", "get", "/u/:id"), ("koa", "GET", "/u/:id"), ("fastapi", "post", "/p"), ("spring", "GET", "/j")}
+    assert N.routes(f).count() == 0
     assert {(r.kind, r.name) for r in N.tools(f).collect()} == {("mcp", "t1"), ("grpc", "Get")}
     assert {(r.mapper, r.model, r.is_query) for r in N.data_models(f).collect()} == {("prisma", "user", True), ("sqlalchemy", "U", False)}
     urls = N.fetches(f).select(F.col("file_path").alias("url_id"), F.col("url").alias("path"))
-    assert J.match_routes(urls, N.routes(f).select(F.col("id").alias("route_id"), F.col("path").alias("pattern"))).count() == 1
+    assert J.match_routes(urls, found.select(F.col("id").alias("route_id"), F.col("path").alias("pattern"))).count() == 2  # express and koa
     fns = spark.createDataFrame([("fn:1", "a.js")], "id string, file_path string")
     assert N.query_edges(N.data_models(f), fns).first().dst == "model:prisma:user"
 
@@ -201,3 +210,115 @@ def test_porter_stemmer(spark):
     assert {w: porter_stem(w) for w in want} == want
     words = spark.createDataFrame([("running",), (None,)], "w string")
     assert [r[0] for r in words.select(stem("w")).collect()] == ["run", None]
+
+
+def test_routes_by_place_and_prefix(spark):
+    tree = {
+        "src/app/api/users/[id]/route.ts": "export async function GET() {}\nexport const POST = 1",
+        "app/(shop)/cart/page.tsx": "",
+        "app/users/[id].tsx": "import 'expo-router'",
+        "app/index.js": "from 'expo-router'",
+        "cats.controller.ts": "@Controller('cats')\n@Get()\n@Post('/new')\n@Put(':id')",
+        "api/views.py": "@api_view(['GET', 'POST'])\n@action(detail=True, methods=['put'])",
+        "x.pug": "  form(action='/go' method='post')",
+        "routes/a.js": "@RequestMapping(value = '/m', method = RequestMethod.PUT) @RequestMapping('/n')",
+    }
+    got = {(r.file_path, r.framework, r.method, r.path) for r in N.routes(files(spark, tree)).collect()}
+    assert got == {
+        ("src/app/api/users/[id]/route.ts", "nextjs", "GET", "[inferred]"), ("src/app/api/users/[id]/route.ts", "nextjs", "POST", "[inferred]"),
+        ("src/app/api/users/[id]/route.ts", "nextjs-app", "GET", "/api/users/:id"), ("src/app/api/users/[id]/route.ts", "nextjs-app", "POST", "/api/users/:id"),
+        ("app/(shop)/cart/page.tsx", "nextjs-app", "GET", "/(shop)/cart"), ("app/users/[id].tsx", "expo", "GET", "/users/:id"), ("app/index.js", "expo", "GET", "/"),
+        ("cats.controller.ts", "nestjs", "GET", "/cats"), ("cats.controller.ts", "nestjs", "POST", "/cats/new"), ("cats.controller.ts", "nestjs", "PUT", "/cats/:id"),
+        ("api/views.py", "django-rest", "GET, POST", "[inferred]"), ("api/views.py", "django-rest", "put", "[inferred]"), ("x.pug", "pug-template", "GET", "/go"),
+        ("routes/a.js", "spring", "PUT", "/m"), ("routes/a.js", "spring", "ANY", "/n"),
+    }
+
+
+def test_code_shapes(spark):
+    from arbora.operators.shapes import code_shapes
+
+    code = """
+    app.get('/x', auth, limit(3), (req, res) => { res.status(404).json({ error: 'a:b', code: { deep: 1 } }); })
+    router.use(cors); export default withAuth(async (req) => { return { id: 1, 'quoted': 2, list: [1, { no: 2 }], last: f({ a: 1 }) } })
+    x = Depends(get_db)
+    @login_required
+    Route::get('/y')->middleware('throttle:60');
+    const { name, age: years, data } = await response; use(data?.total, result['key'], res.body, other.field, 3.14)
+    """
+    r = code_shapes(files(spark, {"a.js": code, "none.js": None, "open.js": "return { a: 1, b: ["})).collect()
+    a = {x.file_path: x for x in r}
+    assert a["a.js"].response_keys == ["id", "list", "last"] and a["a.js"].error_keys == ["error", "code"]
+    assert a["a.js"].middleware == ["auth", "withAuth", "cors", "get_db", "login_required", "throttle"]
+    assert sorted(a["a.js"].accessed) == ["age", "body", "key", "name", "status", "total"]
+    assert a["none.js"].response_keys == [] and a["open.js"].response_keys == ["a", "b"]
+
+
+def test_aliases(spark):
+    config = '{"compilerOptions": {"paths": {"@/*": ["./src/*"], "@lib": ["src/lib/index.ts", "x"], "none": []}}}'
+    configs = spark.createDataFrame([("r", config), ("broken", "{")], "scope string, content string")
+    imports = spark.createDataFrame([("r", s) for s in ("@/a/b.tsx", "@lib", "@lib/x", "react")] + [("other", "@/a")], "scope string, spec string")
+    got = {(r.scope, r.spec): r.resolved for r in R.resolve_aliases(imports, R.read_aliases(configs)).collect()}
+    assert got == {("r", "@/a/b.tsx"): "src/a/b", ("r", "@lib"): "src/lib/index", ("r", "@lib/x"): "@lib/x", ("r", "react"): "react", ("other", "@/a"): "@/a"}
+
+
+def test_changed_paths(spark):
+    unified = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\ndiff --git a/gone b/gone\n--- a/gone\n+++ /dev/null\ndiff --git a/o b/n\nrename from o\nrename to n\n"
+    got = R.changed_paths(texts(spark, unified, "a b.txt\nc.md\r\n\n", "", None)).collect()
+    assert sorted(r.file_path for r in got) == ["a b.txt", "c.md", "gone", "n", "x.py"]
+
+
+def test_hash_table(spark, tmp_path):
+    from arbora.streaming.incremental import load_hashes, save_hashes
+
+    path = str(tmp_path / "hashes")
+    assert load_hashes(spark, path) is None
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "file_path string, hash string")
+    save_hashes(now, path, "abc")
+    assert {tuple(r) for r in load_hashes(spark, path).collect()} == {("a", "1", "abc"), ("b", "2", "abc")}
+    now.write.mode("overwrite").parquet(path)
+    assert load_hashes(spark, path) is None
+
+
+def test_snapshots(spark, tmp_path):
+    from arbora.streaming.incremental import append_snapshot, load_snapshots
+
+    path = str(tmp_path / "snaps")
+    for k in range(4):
+        append_snapshot(spark.createDataFrame([(k, float(k))], "n int, health double"), path, f"2024-01-0{k + 1}T00:00:00Z", branch="main")
+    assert [r.n for r in load_snapshots(spark, path).collect()] == [0, 1, 2, 3]
+    assert [r.n for r in load_snapshots(spark, path, since="2024-01-02T00:00:00Z", until="2024-01-03T00:00:00Z").collect()] == [1, 2]
+    assert [r.n for r in load_snapshots(spark, path, limit=2).collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("backend", ["parquet", "orc", "json", "csv"])
+def test_graph_store(spark, tmp_path, backend):
+    from arbora.sources.store import GraphStore
+    from test_graphs import graph
+
+    store = GraphStore(spark, str(tmp_path / "g"), backend)
+    g = graph(spark, [("A", "B"), ("B", "C")])
+    store.save(g)
+    fresh = g.vertices.where("id = 'A'").withColumn("name", F.lit("new"))
+    store.merge(fresh.unionByName(fresh.withColumn("id", F.lit("Z"))), g.edges.where("src = 'A'").withColumn("confidence", F.lit(0.25)))
+    got = store.load()
+    assert {r.id: r["name"] for r in got.vertices.collect()}["A"] == "new" and got.vertices.count() == 4
+    assert {(r.src, r.dst): r.confidence for r in got.edges.collect()}["A", "B"] == 0.25 and got.edges.count() == 2
+    with pytest.raises(ValueError):
+        GraphStore(spark, "x", "nothing")
+
+
+def test_node_link_round_trip(spark):
+    from test_graphs import graph
+
+    g = graph(spark, [("A", "B"), ("A", "C"), ("C", "A")])
+    back = O.read_node_link(O.node_link_rows(g))
+    key = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    assert key(back.vertices, "id", "label", "name") == key(g.vertices, "id", "label", "name")
+    assert key(back.edges, "src", "dst", "type", "confidence") == key(g.edges, "src", "dst", "type", "confidence")
+    assert {r.id: r.neighbours for r in O.adjacency_lists(g).collect()} == {"A": ["B", "C"], "B": [], "C": ["A"]}
+
+
+def test_deep_inheritance(spark):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}", 0) for i in range(1500)], "class string, base string, position int")
+    got = {r["class"]: r.depth for r in N.mro(chain).collect()}
+    assert got["c0"] == 1500 and got["c1499"] == 1
