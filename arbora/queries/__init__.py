@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from . import algorithms, relational, retrieval, system  # noqa: F401
+    from . import algorithms, code, relational, retrieval, system  # noqa: F401
 
     return REGISTRY

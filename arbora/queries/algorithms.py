@@ -215,9 +215,12 @@ def g06(spark, d):
     return K.cut_vertices(V.parts(spark, d)).select("id")
 
 
-@query("g07_mesh")
+@query(
+    "g07_mesh",
+    f"{PARTS}, {REACH}, z as (select id, min(o) as component from (select a.s as id, a.t as o from reach a join reach b on a.s = b.t and a.t = b.s) group by 1), o as (select z.id, z.component, count(e.src) as o from z left join (e join z y on e.dst = y.id) on e.src = z.id and y.component = z.component group by 1, 2), p as (select component, count(*) as n, sum(o)::bigint as n_edges, min(o) as least from o group by 1) select p.component, n, n_edges, n_edges / (n * (n - 1))::double as density, string_agg(o.id, ',' order by o.id) as anchors from p join o on p.component = o.component and o.o = least where n >= 3 and n_edges / (n * (n - 1))::double >= 0.2 group by 1, 2, 3, 4",
+)
 def g07(spark, d):
-    return K.mesh(V.parts(spark, d), 0.2)
+    return K.mesh(V.parts(spark, d), 0.2).withColumn("anchors", F.array_join("anchors", ","))
 
 
 @query("g08_smells")
@@ -241,7 +244,7 @@ def g32(spark, d):
     return K.peel_order(V.parts(spark, d).of_types("EXTENDS"))
 
 
-@query("g32b_topological_order")
+@query("g32b_topological_order", f"{PARTS}, x as (select distinct src, dst from e where type = 'EXTENDS'), l as (with recursive p(id, k) as (select id, 0 from v union select src, k + 1 from p join x on p.id = dst where k < 60) select id, max(k) as level from p group by 1) select id, row_number() over (order by level, id) as position from l")
 def g32b(spark, d):
     return K.topological_order(V.parts(spark, d).of_types("EXTENDS"))
 
@@ -366,13 +369,16 @@ def g11(spark, d):
 
 @query(
     "g11b_clone_buckets",
-    f"{WL}, s as (select src as id, list_sort(list(distinct label)) as s from e join w2 on dst = w2.id group by 1), g as (select w2.id, label, s from w2 join s on w2.id = s.id), k as (select *, row_number() over (partition by label order by id) - 1 as k, count(*) over (partition by label) as n from g), t as (select * from k where n <= 500 or k % ceil(n / 500)::bigint = 0), j as (select floor(10000 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) + 0.5) / 10000 as similarity from t a join t b on a.label = b.label and a.id < b.id) select count(*) filter (where similarity >= 0.95) as exact, count(*) filter (where similarity >= 0.8 and similarity < 0.95) as near, count(*) filter (where similarity >= 0.6 and similarity < 0.8) as potential from j",
+    f"{WL}, s as (select src as id, list_sort(list(distinct label)) as s from e join w2 on dst = w2.id group by 1), g as (select w2.id, label, s from w2 join s on w2.id = s.id), k as (select *, row_number() over (partition by label order by id) - 1 as k, count(*) over (partition by label) as n from g), t as (select * from k), j as (select floor(10000 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) + 0.5) / 10000 as similarity from t a join t b on a.label = b.label and a.id < b.id) select count(*) filter (where similarity >= 0.95) as exact, count(*) filter (where similarity >= 0.8 and similarity < 0.95) as near, count(*) filter (where similarity >= 0.6 and similarity < 0.8) as potential from j",
 )
 def g11b(spark, d):
     return W.similarity_buckets(W.clone_set_pairs(V.parts(spark, d)))
 
 
-@query("g11c_clone_clusters")
+@query(
+    "g11c_clone_clusters",
+    f"{WL}, s as (select src as id, list_sort(list(distinct label)) as s from e join w2 on dst = w2.id group by 1), g as (select w2.id, label, s from w2 join s on w2.id = s.id), j as (select a.id as a, b.id as b, floor(10000 * len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) + 0.5)::bigint as units from g a join g b on a.label = b.label and a.id < b.id), k as (select * from j where units >= 8000), f as (select a, b, units from k union all select b, a, units from k), r as (with recursive p(id, o) as (select distinct a, a from f union select p.id, f.b from p join f on p.o = f.a) select id, min(o) as c from p group by 1), t as (select c, f.a as id, sum(units) as s from f join r on f.a = r.id group by 1, 2) select c as cluster, count(*) as n, (array_agg(id order by s desc, id))[1] as representative, (select floor(avg(units) + 0.5) / 10000 from k join r on k.a = r.id where r.c = t.c) as similarity from t group by c",
+)
 def g11c(spark, d):
     return W.clone_clusters(W.clone_set_pairs(V.parts(spark, d), 0.8), Workspace(spark, "clusters"))
 
@@ -415,13 +421,6 @@ def g30(spark, d):
     return T.classify_processes(steps, V.sql(spark, d, V.PART_MEMBERS))
 
 
-@query("g28_cross_graph_impact")
-def g28(spark, d):
-    repo = V.sql(spark, d, V.PART_MEMBERS).select("id", F.col("community").alias("repo"))
-    links = V.sql(spark, d, "select 'part:' || p_partkey as provider_id, 'part:' || (p_partkey * 7 % 2000) as consumer_id from part where p_partkey % 5 = 0")
-    return T.cross_graph_impact(V.parts(spark, d), repo, spark.createDataFrame([("part:10",)], "id string"), links)
-
-
 @query("i03_affected_descendants", f"{PARTS}, f as (select dst as src, src as dst from e where type = 'EXTENDS'), {bfs_sql('f', 'select id from v where id in (' + chr(39) + 'part:3' + chr(39) + ', ' + chr(39) + 'part:44' + chr(39) + ')', 20)} select id from r")
 def i03(spark, d):
     from ..streaming.incremental import affected_descendants

@@ -66,15 +66,9 @@ def e12(spark, d):
     return N.markdown_sections(files(spark, d))[0].select("file_path", "line", "level")
 
 
-@query("e14_mro")
-def e14(spark, d):
-    e = V.parts(spark, d).of_types("EXTENDS").edges
-    return N.mro(e.select(F.col("src").alias("class"), F.col("dst").alias("base"), F.lit(0).alias("position")))
-
-
 @query("s01_file_scan")
 def s01(spark, d):
-    return I.scan_files(spark, d, max_bytes=64 * 1024).select("file_path", "size", "hash")
+    return I.scan_files(spark, d).select("file_path", "size", "hash")
 
 
 @query("s06_graph_stats", f"{COMMERCE} select 'label' as kind, label as name, count(*) as n from v group by 2 union all select 'type', type, count(*) from e group by 2")
@@ -88,9 +82,10 @@ def s05(spark, d):
     return g.vertices.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s10_record_stream", f"{TRADE} select 'node' as kind, count(*) as n from v union all select 'edge', count(*) from e")
+@query("s10_record_stream", f"{TRADE} select 'node' as kind, id as a, name as b, null as confidence from v union all select 'edge', src, dst, confidence from e")
 def s10(spark, d):
-    return I.record_stream(V.trade(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    r = I.record_stream(V.trade(spark, d)).withColumn("r", F.from_json("record", "id string, name string, src string, dst string, confidence double"))
+    return r.select("kind", F.coalesce("r.id", "r.src").alias("a"), F.coalesce("r.name", "r.dst").alias("b"), "r.confidence")
 
 
 @query("k01_round_trip", f"{PARTS} select 'v' as kind, label as name, count(*) as n from v group by 2 union all select 'e', type, count(*) from e group by 2")
@@ -107,9 +102,10 @@ def k04(spark, d):
     return O.edge_index(V.trade(spark, d))
 
 
-@query("k05_graphml", f"{TRADE} select case when k = 1 then 'node' else 'edge' end as kind, count(*) as n from (select 1 as k from v union all select 2 from e) group by 1")
+@query("k05_graphml", f"{TRADE} select '<node id=\"' || id || '\">' as tag, '<data key=\"name\">' || name || '</data>' as datum from v union all select '<edge source=\"' || src || '\" target=\"' || dst || '\">', '<data key=\"type\">IMPORTS</data>' from e")
 def k05(spark, d):
-    return O.graphml_rows(V.trade(spark, d)).groupBy(F.when(F.startswith("xml", F.lit("<node")), "node").otherwise("edge").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    r = O.graphml_rows(V.trade(spark, d))
+    return r.select(F.regexp_extract("xml", "^<[^>]*>", 0).alias("tag"), F.regexp_extract("xml", '<data key="(?:name|type)">[^<]*</data>', 0).alias("datum"))
 
 
 @query("k09a_community_diagram", f"{COMMERCE}, k as (select community, v.id, name, row_number() over (partition by community order by v.id) as k from v join m on v.id = m.id), c as (select greatest(1, floor(200 / count(distinct community))) as c from m) select community, id, name from k, c where k <= c")
