@@ -25,8 +25,8 @@ UNKNOWN = "und"
 WIDTH, HIDDEN, STEPS, BATCH, SEED = 48, 8, 700, 192, 5
 #: Documents learnt from: per language, and of all languages together (one at least of each); and windows from each.
 FIT_DOCS, FIT_TOTAL, FIT_WINDOWS = 400, 20_000, 3
-#: Of so many most frequent languages most rows leave before the choice; MARGIN times the rows wanted stay.
-THINNED, MARGIN = 1_000, 4
+#: Of so many most frequent languages most rows leave before the choice; MARGIN times the documents wanted stay, and SPARE more.
+THINNED, MARGIN, SPARE = 1_000, 4, 100
 #: Probabilities held at once while windows are labelled.
 LABEL_FLOATS = 1 << 21
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -189,12 +189,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Co
     rows = rows.select(key.cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     work = Workspace(docs.sparkSession, "languages")
-    sizes = work.save(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sizes = work.save(rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("size")), "sizes")
     quota = max(1, min(fit_docs, fit_total // max(1, sizes.count())))
     # most rows of a frequent language leave by hash before their windows are cut and moved
-    frequent = sizes.where(F.col("size") > MARGIN * quota).orderBy(F.desc("size"), "lang").limit(THINNED)
+    wanted = MARGIN * quota + SPARE
+    frequent = sizes.where(F.col("size") > wanted).orderBy(F.desc("size"), "lang").limit(THINNED)
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
-    rows = rows.withColumn("place", place).join(F.broadcast(frequent), "lang", "left").where(F.col("size").isNull() | (F.col("place") * F.col("size") < MARGIN * quota))
+    rows = rows.withColumn("place", place).join(F.broadcast(frequent), "lang", "left").where(F.col("size").isNull() | (F.col("place") * F.col("size") < wanted))
     spot = lambda k: F.pmod(F.xxhash64(F.col("id"), k), F.greatest(F.lit(1), F.length("text") - (WIDTH - 1))) + 1
     windows = F.transform(F.sequence(F.lit(1), F.lit(FIT_WINDOWS)), lambda k: F.substring(F.col("text"), spot(k).cast("int"), F.lit(WIDTH)))
     rows = rows.select("id", "place", "lang", windows.alias("windows")).groupBy("lang", "id").agg(F.min("place").alias("place"), F.min("windows").alias("windows"))

@@ -47,6 +47,24 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 64])
+def test_url_filter_does_not_depend_on_lanes(spark, lanes):
+    rng = random.Random(2)
+    labels = ["a", "b", "net", "org", "example", "co"]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randrange(1, 5)))
+    rules = [(host(), "/" + rng.choice(["", "x", "x/y"]), rng.choice(["block", "allow"])) for _ in range(60)]
+    urls = [(i, f"https://{host() if i % 3 else 'hot.example.net'}/{rng.choice(['', 'x', 'x/y/z', 'q'])}") for i in range(600)]
+    want = {}
+    for i, u in urls:
+        h, _, p = u[8:].partition("/")
+        fits = [(len(a + b), a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and ("/" + p).startswith(b)]
+        want[i] = max(fits)[1:] if fits else (None, "allow")
+    pages = spark.createDataFrame(urls, "host long, url string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), id_col="host", lanes=lanes)
+    assert got.columns == ["host", "url_host", "path", "rule", "verdict"]
+    assert {r.host: (r.rule, r.verdict) for r in got.collect()} == want
+
+
 def test_quality_rules(odd, none):
     got = quality_rules.judge_documents(odd).collect()
     assert len(got) == 11
@@ -74,7 +92,10 @@ def test_near_dedup(spark, odd, none):
     assert near_dedup.keep_one(odd).columns == odd.columns
 
 
-def test_near_dedup_finds_links_that_miss_every_centre(spark):
+@pytest.mark.parametrize(("classes", "shingles"), [(768, 500_000), (7, 500_000), (768, 900)])
+def test_near_dedup_finds_links_that_miss_every_centre(spark, monkeypatch, classes, shingles):
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", classes)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -100,6 +121,14 @@ def test_family_blocks_split_a_family(spark, monkeypatch):
     assert near_dedup.block_links(pdf).to_numpy().tolist() == [[1, 2]]
 
 
+def test_one_row_of_a_shared_id_stays(spark):
+    base = " ".join(WORDS)
+    data = [(1, base + " b", "z"), (1, base + " a", "y"), (1, base + " a", "x"), (2, base + " a", "w"), (None, base, "v"), (None, base, "v")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, k string")
+    got = sorted((r.doc_id or 0, r.text, r.k) for r in near_dedup.keep_one(docs).collect())
+    assert got == [(0, base, "v"), (0, base, "v"), (1, base + " a", "x")]
+
+
 def test_signature_densification_keeps_minima():
     import numpy as np
 
@@ -121,6 +150,18 @@ def test_quality_gam(spark, odd, none):
     assert kept.count() == 11 and kept.columns == odd.columns
 
 
+def test_quality_learns_from_one_row_of_an_id(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) if i % 2 else "## ** $$ " * 9) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    other = [(1, "## ** $$ " * 9 + str(k)) for k in range(50)]
+    scores = []
+    for data in (texts + other, other[::-1] + texts[::-1]):
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in quality_gam.score_quality(docs, labels).collect()))
+    assert scores[0] == scores[1]
+
+
 def test_additive_model_learns_an_interaction():
     import numpy as np
 
@@ -278,6 +319,16 @@ def test_gru_gradients_match_differences():
         assert abs((ends[0] - ends[1]) / 2e-3 - g[k][at]) < 2e-4, (k, at)
 
 
+def test_lang_id_samples_every_language_within_the_total(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(lang_id, "fit", lambda windows, labels: seen.update(n=len(windows), languages=set(labels)))
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text number ', id) as text", "concat('l', id % 30) as lang")
+    lang_id.train(docs.unionByName(docs), "doc_id", "text", "lang", fit_docs=40, fit_total=90)
+    assert seen["n"] == 30 * 3 * lang_id.FIT_WINDOWS and len(seen["languages"]) == 30
+    lang_id.train(docs, "doc_id", "text", "lang", fit_docs=40, fit_total=10)
+    assert seen["n"] == 30 * lang_id.FIT_WINDOWS
+
+
 def test_lang_id_learns_from_rows_with_letters(spark):
     texts = [(i, f"worte und sätze {i}" if i % 1000 == 7 else (None, "", "123 456")[i % 3], "de") for i in range(5000)]
     texts += [(10_000 + i, f"words and phrases {i}", "en") for i in range(5)]
