@@ -57,13 +57,16 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, iterations: int = 100, tol
 def katz(g: PropertyGraph, alpha: float = 0.1, iterations: int = 20, beta: float = 1.0) -> DataFrame:
     """id, katz: x = alpha A^T x + beta, then unit length."""
     work = Workspace(g.spark, "katz")
-    e = g.without_dangling().edges.select("src", "dst")
+    e = work.save(g.without_dangling().edges.select("src", "dst"), "edges")
     x = g.vertices.select("id", F.lit(0.0).alias("x"))
     for k in range(iterations):
         s = x.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("s"))
         x = g.vertices.select("id").join(s, "id", "left").select("id", (alpha * F.coalesce("s", F.lit(0.0)) + beta).alias("x"))
         if (k + 1) % EVERY == 0:
             x = work.save(x, f"x-{k}")
+            work.drop(f"x-{k - EVERY}")
+    x = work.save(x, "result")
+    work.drop_all_but("result")
     length = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
     return x.crossJoin(F.broadcast(length)).select("id", (F.col("x") / F.col("l")).alias("katz"))
 
@@ -71,7 +74,7 @@ def katz(g: PropertyGraph, alpha: float = 0.1, iterations: int = 20, beta: float
 def hits(g: PropertyGraph, iterations: int = 20) -> DataFrame:
     """id, hub, authority; each sums to 1."""
     work = Workspace(g.spark, "hits")
-    e = g.without_dangling().edges.select("src", "dst")
+    e = work.save(g.without_dangling().edges.select("src", "dst"), "edges")
     ids = g.vertices.select("id")
     scaled = lambda df: df.crossJoin(F.broadcast(df.agg(F.sum("s").alias("t")))).select("id", F.coalesce(F.try_divide(F.col("s"), F.col("t")), F.lit(0.0)).alias("s"))
     pull = lambda x, a, b: ids.join(x.join(e, F.col("id") == F.col(a)).groupBy(F.col(b).alias("id")).agg(F.sum("s").alias("s")), "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s"))
@@ -80,6 +83,8 @@ def hits(g: PropertyGraph, iterations: int = 20) -> DataFrame:
     for k in range(iterations):
         authority = scaled(work.save(pull(hub, "src", "dst"), f"a-{k}"))
         hub = scaled(work.save(pull(authority, "dst", "src"), f"h-{k}"))
+        work.drop(f"a-{k - 1}", f"h-{k - 1}")
+    work.drop("edges")
     return hub.select("id", F.col("s").alias("hub")).join(authority.select("id", F.col("s").alias("authority")), "id")
 
 

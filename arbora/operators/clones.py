@@ -16,11 +16,13 @@ from .components import star_components
 def wl_labels(g: PropertyGraph, rounds: int = 2) -> DataFrame:
     """id, label: degrees first, then the md5 of the own label and the sorted labels of all targets, ``rounds`` times."""
     state = degrees(g).select("id", F.concat(F.lit("d:"), F.col("n_out"), F.lit(","), F.col("n_in")).alias("label"))
-    e = g.without_dangling().edges.select("src", "dst")
     work = Workspace(g.spark, "wl")
+    e = work.save(g.without_dangling().edges.select("src", "dst"), "edges")
     for k in range(rounds):
         near = e.join(state.toDF("dst", "l"), "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("l")), ",").alias("ls"))
         state = work.save(state.join(near, "id", "left").select("id", F.md5(F.concat("label", F.lit("|"), F.coalesce("ls", F.lit("")))).alias("label")), f"labels-{k}")
+        work.drop(f"labels-{k - 1}")
+    work.drop("edges")
     return state
 
 

@@ -82,6 +82,7 @@ def strong_components(g: PropertyGraph, max_rounds: int = 100_000) -> DataFrame:
         n = e.count()
     if found is None:
         return g.vertices.select("id", F.col("id").alias("component")).limit(0)
+    work.drop_all_but(*(t for t in work.tables if t.startswith("reach-")))
     big = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
     return found.join(big, "c").select("id", "component")
 
@@ -114,6 +115,8 @@ def peel_order(g: PropertyGraph, max_rounds: int = 10_000) -> DataFrame:
         done = free if done is None else done.unionByName(free)
         left = work.save(left.join(free, "id", "left_anti"), f"left-{level + 1}")
         work.drop(f"left-{level}")
+    if done is not None:
+        work.drop_all_but(*(t for t in work.tables if t.startswith("free-")))
     return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)
 
 

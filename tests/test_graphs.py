@@ -121,6 +121,49 @@ def test_random_graphs_against_brute_force(spark):
     assert as_dict(K.connected_components(g), "id", "component").keys() == set(ids)
 
 
+def test_louvain_raises_rather_than_change_its_method(spark):
+    g = graph(spark, both(*CHAIN))
+    with pytest.raises(ValueError, match="max_component_edges"):
+        G.louvain(g, max_component_edges=2)
+    assert G.louvain(g, max_component_edges=2, oversized="propagate").count() == 4
+
+
+def test_hierarchy_stops_without_gain(spark):
+    cliques = [p for c in ("abcd", "efgh", "ijkl", "mnop") for p in both(*[(x, y) for x in c for y in c if x < y])]
+    ring = both(("a", "e"), ("f", "i"), ("j", "m"), ("n", "b"))
+    levels = G.hierarchy(graph(spark, cliques + ring))
+    assert levels.where("level = 0").select("community").distinct().count() == 4
+    assert levels.select("level").distinct().count() == 2
+    pairs = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0)], "a string, b string, w double")
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")], "id string, community string")
+    assert G.weighted_modularity(pairs, members) == pytest.approx(0.5)
+    assert G.weighted_modularity(pairs.limit(0), members) == 0
+
+
+def test_number_rows(spark):
+    from arbora.plans.rewrites import number_rows
+
+    rows = spark.range(5000).selectExpr("concat('k', id * 7919 % 5000) as k", "id % 3 as g")
+    got = {r.k: r.n for r in number_rows(rows, ["g", "k"], "n").collect()}
+    want = sorted(((i % 3, f"k{i * 7919 % 5000}") for i in range(5000)))
+    assert got == {k: n for n, (_, k) in enumerate(want)}
+    assert number_rows(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_impact_caps(spark):
+    g = graph(spark, [("B", "A"), ("C", "A"), ("D", "B"), ("E", "D")])
+    seed = spark.createDataFrame([("A",)], "id string")
+    assert [r.id for r in T.impact(g, seed, cap=3).orderBy("depth", "id").collect()] == ["B", "C", "D"]
+    assert [r.id for r in T.impact_probability(g, "A", cap=2).collect()] == ["B", "C"]
+
+
+def test_typed_patterns(spark):
+    counts = spark.createDataFrame([("Class:CALLS:Method", 3), ("Module:IMPORTS:Module", 4), ("Class:USES:Class", 2), ("Interface:HAS_METHOD:Method", 7)], "key string, n long")
+    got = {r["name"]: (r.confidence, r.total) for r in M.typed_patterns(counts).collect()}
+    assert got == {"Controller-Fat": (pytest.approx(1 / 3), 6), "Circular-Import": (pytest.approx(2 / 3), 4)}
+    assert M.typed_patterns(counts.where("n = 2")).count() == 0
+
+
 def test_louvain(spark):
     two = graph(spark, [("A", "B"), ("B", "C"), ("X", "Y"), ("Y", "Z")])
     c = as_dict(G.louvain(two), "id", "community")

@@ -7,7 +7,7 @@ from arbora.queries import load
 
 SF = "/root/testdata/sf0.001"
 REGISTRY = load()
-EMPTY_ALLOWED = {"r02b_bm25_stemmed", "g07_mesh", "g11c_clone_clusters", "e17_design_patterns"}
+EMPTY_ALLOWED = {"e17_design_patterns"}
 
 
 @pytest.fixture(scope="module")
