@@ -4,7 +4,7 @@ One forward scan cuts the page into blocks, each with its text, the share of its
 characters inside links, and the element that holds it. Menus, headers, footers,
 sidebars, adverts, notices, forms, comments and the like are out at once, by tag,
 role or class words. A class word never rules out an element around the page's
-primary section (its ``main``, and the ``article`` with most text), nor does a
+primary section (its ``main``, and the ``article`` with most text that is no comment), nor does a
 compound word around most of the page's text. Pass one classifies the other
 blocks without context, by length, stop-word density and link density; short
 blocks stay undecided. Pass two gives those the label of the nearest decided
@@ -55,8 +55,8 @@ _OUT_WORDS = _COMMENT_WORDS | frozenset(
 )
 #: Parts of class words that speak of the layout around an element, not of the element.
 _STATES = frozenset("no not non without with has is js hide show open closed enabled disabled".split())
-#: Why an element is out: its nature; a class word of its own; a compound class word; a form. The last three yield to the primary section.
-_NATURE, _WORD, _COMPOUND, _FORM = 1, 2, 3, 4
+#: Why an element is out: its nature; a class word of its own; a compound class word; a form; comments. All but the first yield to the primary section.
+_NATURE, _WORD, _COMPOUND, _FORM, _COMMENTS = 1, 2, 3, 4, 5
 
 
 class _Piece:
@@ -80,7 +80,7 @@ def _left_out(name: str, attrs: str, in_main: bool) -> int:
         return form
     words = [*found.get("class", "").split(), found.get("id", "")]
     if name in ("article", "main", "body", "html"):
-        return _WORD if name == "article" and any(w.startswith(("comment", "reply")) for w in words) else 0
+        return _COMMENTS if name == "article" and any(w.startswith(("comment", "reply")) for w in words) else 0
     why = 0
     for word in words:
         parts = [p for p in _PART.split(word) if p]
@@ -89,9 +89,9 @@ def _left_out(name: str, attrs: str, in_main: bool) -> int:
             bad -= {"header"}
         if not bad or (len(parts) > 1 and not _STATES.isdisjoint(parts)):
             continue
-        if len(parts) == 1 or bad & _COMMENT_WORDS:
-            return _WORD
-        why = _COMPOUND
+        if bad & _COMMENT_WORDS:
+            return _COMMENTS
+        why = _WORD if len(parts) == 1 else why or _COMPOUND
     return why
 
 
@@ -159,10 +159,13 @@ class _Page:
         total = self.own.copy()
         for k in range(n - 1, 0, -1):
             total[parents[k]] += total[k] if why[k] != _NATURE or not self.ended[k] else 0
+        remark = [False] * n
+        for k in range(1, n):
+            remark[k] = why[k] == _COMMENTS or remark[parents[k]]
         held = [False] * n
         for name in ("main", "article"):
             some = [k for k in range(n) if names[k] == name and not why[k]]
-            k = max(some, key=lambda k: (total[k], -k), default=0)
+            k = max([k for k in some if not remark[k]] or some, key=lambda k: (total[k], -k), default=0)
             while k and not held[k]:
                 held[k] = True
                 k = parents[k]

@@ -206,6 +206,8 @@ def test_which_section_is_the_primary_one():
     comments = "<div id='comments'><article class='comment-body'><p>" + "I am of the same mind as you are in this. " * 30 + "</p></article></div>"
     assert html_extract.main_text(f"<article><p>{SENTENCES}</p></article>{related}{comments}") == SENTENCES.strip()
     assert html_extract.main_text(f"<div class='page with-sidebar'><p>{SENTENCES}</p><div class='sidebar'>s {SENTENCES}</div></div>") == SENTENCES.strip()
+    plain_comments = "<section id='comments'><article><p>" + "I am of the same mind as you are in this. " * 90 + "</p></article></section>"
+    assert html_extract.main_text(f"<main><article><p>{SENTENCES}</p></article>{plain_comments}</main>") == SENTENCES.strip()
     assert html_extract.main_text(f"<form id='aspnet'><main><p>{SENTENCES}</p></main></form>") == SENTENCES.strip()
     assert html_extract.main_text(f"<nav><a>x</a><main><p>{SENTENCES}</p></main>") == SENTENCES.strip()
 
