@@ -14,8 +14,10 @@ does. Pairs are confirmed on full sets.
 Where a bucket's members are still in different components, a link between two
 of them that both miss the centre may exist. Such buckets chain into families.
 A family's full sets are compared exactly, in blocks of bounded size: all
-classes outside the family's largest component against all of the family. No
-pair becomes a row unless it is a link, and no link is lost to the star shape.
+classes outside the family's largest component against all of the family. Each
+side has as many blocks as its own size asks for, so a family is copied once for
+each block of those outside, not once for each block of itself. No pair becomes a
+row unless it is a link, and no link is lost to the star shape.
 
 All tables between the steps lie in the shared folder; nothing about documents
 is collected or broadcast by hand.
@@ -184,14 +186,15 @@ def family_links(members: DataFrame, joined: DataFrame, sets: DataFrame, work: W
     classes = rest.select("label", "component").distinct().join(chained, "label", "left").select("label", "component", F.coalesce("family", "label").alias("family"))
     classes = work.save(classes, "families")
     per = classes.join(sets.select("label", "n"), "label").groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    whole = per.groupBy("family").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max_by("component", "k").alias("main"))
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_CLASSES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")
-    sized = classes.join(whole, "family").select("label", "family", "component", "main", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    whole = per.groupBy("family").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "component")).alias("main"))
+    count = lambda k, n: F.greatest(F.ceil(k / BLOCK_CLASSES), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    n_rows, n_cols = count(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")), count(F.col("k"), F.col("n"))
+    sized = classes.join(whole.select("family", F.col("main.component").alias("main"), n_rows.alias("n_rows"), n_cols.alias("n_cols")), "family")
+    own = lambda n: F.pmod(F.xxhash64("label"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = sized.join(sets.select("label", "shingles"), "label")
-    row = held.where("component <> main").select("family", own.alias("i"), every.alias("j"), F.lit(0).alias("side"), "label", "component", "shingles")
-    col = held.select("family", every.alias("i"), own.alias("j"), F.lit(1).alias("side"), "label", "component", "shingles")
+    row = held.where("component <> main").select("family", own("n_rows").alias("i"), every("n_cols").alias("j"), F.lit(0).alias("side"), "label", "component", "shingles")
+    col = held.select("family", every("n_rows").alias("i"), own("n_cols").alias("j"), F.lit(1).alias("side"), "label", "component", "shingles")
     kind = sets.schema["label"].dataType.simpleString()
     return row.unionByName(col).groupBy("family", "i", "j").applyInPandas(block_links, f"a {kind}, b {kind}")
 
