@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stop words of the term index.
@@ -23,16 +23,23 @@ KEY_STOP_WORDS = (
 ).split()
 
 
+#: Runs that other characters or white space separate; a lone letter is no word.
+_WORD = r"[a-z0-9_-]{2,}"
+
+
 def plain_tokens(text: Column) -> Column:
-    """Lower case, other than a-z 0-9 _ - and white space to blanks, words over one letter; repeats stay."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " "), r"\s+")
-    return F.filter(words, lambda w: F.length(w) > 1)
+    """Lower-case words of a-z 0-9 _ -, two characters or more; repeats stay."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
     """As plain_tokens, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " "), r"\s+")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
+    return F.filter(plain_tokens(text), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def token_rows(texts: DataFrame) -> DataFrame:
+    """(id, term): the tokens of texts (id, text) as rows; stop words leave as rows, in generated code rather than by a function per word."""
+    return texts.select("id", F.explode(plain_tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(*STOP_WORDS))
 
 
 def key_terms(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine
-from ..functions.text import query_terms, stem, tokens
+from ..functions.text import query_terms, stem, token_rows, tokens
 from ..storage import Workspace
 
 K1, B = 1.2, 0.75
@@ -69,22 +69,29 @@ class TfidfIndex:
     """A saved TF-IDF index of texts (id, text): tables weights (id, term, w, df) and norms (id, norm, 0 becomes 1).
 
     w = tf * ln(N / (df + 1)), tf a share of the text's tokens. Each table is
-    computed once and lies in the shared folder, weights in order of term, so that
-    a search reads the row groups of its terms only.
+    computed once and lies in the shared folder (norms when first asked for),
+    weights in order of term, so that a search reads the row groups of its terms only.
     """
 
     def __init__(self, texts: DataFrame):
         work = Workspace(texts.sparkSession, "tfidf")
-        words = texts.select("id", F.explode(tokens(F.col("text"))).alias("term"))
+        words = token_rows(texts)
         tf = work.save(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("c")), "counts")
         size = tf.groupBy("id").agg(F.sum("c").alias("len"))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         self.n = texts.count()
         w = (F.col("c") / F.col("len") * F.log(F.lit(float(self.n)) / (F.col("df") + 1))).alias("w")
         self.weights = work.save(tf.join(size, "id").join(df, "term").select("id", "term", w, "df").sortWithinPartitions("term"), "weights")
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-        self.norms = work.save(self.weights.groupBy("id").agg(norm.alias("norm")).select("id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm")), "norms")
         work.drop("counts")
+        self._work, self._norms = work, None
+
+    @property
+    def norms(self) -> DataFrame:
+        """(id, norm), made on first use."""
+        if self._norms is None:
+            length = F.sqrt(F.sum(F.col("w") * F.col("w")))
+            self._norms = self._work.save(self.weights.groupBy("id").agg(length.alias("norm")).select("id", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")).alias("norm")), "norms")
+        return self._norms
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """(id, score, n_terms) by cosine; query weights use ln((N + 1) / (df + 1)); only scores over 0."""
