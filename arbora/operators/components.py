@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,15 +43,79 @@ def connected_components(g: PropertyGraph) -> DataFrame:
     return g.vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(g: PropertyGraph, max_rounds: int = 100_000) -> DataFrame:
+def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """id, component of the cycles among edges (src, dst), by one depth-first walk without recursion."""
+    names, place = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]), sort=True)[::-1]
+    n, m = len(names), len(pdf)
+    order = np.argsort(place[:m], kind="stable")
+    first = np.searchsorted(place[:m][order], np.arange(n + 1)).tolist()
+    to = place[m:][order].tolist()
+    index, low, at = [-1] * n, [0] * n, first[:n].copy()
+    stack, held, component, count = [], bytearray(n), [-1] * n, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                held[v] = 1
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if index[w] < 0:
+                    path.append(w)
+                elif held[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == index[v]:
+                members = []
+                while not members or members[-1] != v:
+                    members.append(stack.pop())
+                    held[members[-1]] = 0
+                if len(members) > 1:
+                    smallest = min(members)
+                    for w in members:
+                        component[w] = smallest
+    some = [v for v in range(n) if component[v] >= 0]
+    return pd.DataFrame({"id": names[some], "component": names[[component[v] for v in some]]})
+
+
+def strong_components(g: PropertyGraph, max_rounds: int = 100_000, kernel_edges: int = 200_000) -> DataFrame:
     """id, component of strongly connected components of two vertices or more; the name is the smallest id.
 
-    Vertices that lie on no cycle are trimmed by degree. Then every vertex takes
-    the smallest id that reaches it; within a colour, what reaches the colour's
-    own vertex backwards is its component and leaves. All steps are joins.
+    Weakly connected parts of up to kernel_edges edges are dealt to tasks of
+    about that many edges and walked there. Larger parts take a loop of joins with
+    the same result: vertices on no cycle are trimmed by degree; then every vertex
+    takes the smallest id that reaches it; within a colour, what reaches the
+    colour's own vertex backwards is its component and leaves.
     """
     work = Workspace(g.spark, "scc")
-    e = work.save(g.without_dangling().edges.where("src <> dst").select("src", "dst").distinct(), "edges-0")
+    e = work.save(g.without_dangling().edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    weak = star_components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), work, "weak").toDF("src", "weak")
+    placed = work.save(e.join(weak, "src", "left").withColumn("weak", F.coalesce("weak", "src")), "placed")
+    size = placed.groupBy("weak").agg(F.count(F.lit(1)).alias("n"))
+    large = size.where(F.col("n") > kernel_edges).select("weak")
+    n_small = size.where(F.col("n") <= kernel_edges).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    deals = max(-(-n_small // kernel_edges), min(64, n_small // 1000), 1)
+    small = placed.join(large, "weak", "left_anti").withColumn("deal", F.pmod(F.xxhash64("weak"), F.lit(deals)))
+    out = work.save(small.groupBy("deal").applyInPandas(_tarjan, "id string, component string"), "walked")
+    rest = placed.join(large, "weak", "left_semi").select("src", "dst")
+    if not rest.isEmpty():
+        out = out.unionByName(work.save(_strong_by_joins(rest, work, max_rounds), "joined"))
+    work.drop_all_but("walked", "joined")
+    return out
+
+
+def _strong_by_joins(edges: DataFrame, work: Workspace, max_rounds: int) -> DataFrame:
+    """strong_components of distinct edges (src, dst) by joins alone."""
+    e = work.save(edges, "edges-0")
     found, k, n = None, 0, e.count()
     while k < max_rounds:
         while True:  # trim
@@ -81,8 +146,7 @@ def strong_components(g: PropertyGraph, max_rounds: int = 100_000) -> DataFrame:
         e = work.save(e.join(reach.select(F.col("id").alias("src")), "src", "left_anti").join(reach.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), f"edges-{k}")
         n = e.count()
     if found is None:
-        return g.vertices.select("id", F.col("id").alias("component")).limit(0)
-    work.drop_all_but(*(t for t in work.tables if t.startswith("reach-")))
+        return edges.select(F.col("src").alias("id"), F.col("dst").alias("component")).limit(0)
     big = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("component")).where("n > 1")
     return found.join(big, "c").select("id", "component")
 

@@ -223,11 +223,6 @@ def g07(spark, d):
     return K.mesh(V.parts(spark, d), 0.2).withColumn("anchors", F.array_join("anchors", ","))
 
 
-@query("g08_smells")
-def g08(spark, d):
-    return K.smells(V.parts(spark, d))
-
-
 @query(
     "g09_flow_hierarchy",
     f"{PARTS}, {REACH}, c as (select distinct s as id from reach where s = t), back as (select distinct t as id from reach where s in (select id from c) union select id from c) select avg(case when src in (select id from back) then 0 else 1 end) as flow_hierarchy from e",
@@ -460,13 +455,6 @@ def r13(spark, d):
     return E.propagate_by_type(V.trade(spark, d), x).select("id", "type", F.round(F.col("mean")[0], 6).alias("v1"))
 
 
-@query("a13_snapshot_metrics")
-def a13(spark, d):
-    g = V.parts(spark, d)
-    top = C.pagerank(g, iterations=8, tolerance=None).orderBy(F.desc("rank")).limit(5).agg(F.round(F.avg("rank"), 9).alias("top_rank"))
-    return A.spectral(g).crossJoin(top).crossJoin(A.modularity_directed(g, V.sql(spark, d, V.PART_MEMBERS)))
-
-
 @query("p13_entry_filter", f"with s as ({SNAPSHOTS}) select count(*) as n from s where health >= 50")
 def p13(spark, d):
     return V.sql(spark, d, SNAPSHOTS).where(P.compile_filter({"health": {"gte": 50}})).agg(F.count(F.lit(1)).alias("n"))

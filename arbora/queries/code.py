@@ -23,9 +23,9 @@ from ..sources import writers as O
 from ..sources.store import GraphStore
 from ..storage import Workspace
 from ..streaming import incremental as U
-from . import query
-from .algorithms import hits_sql, katz_sql
-from .relational import COMMERCE, PARTS
+from . import REGISTRY, query
+from .algorithms import hits_sql, katz_sql, pagerank_sql
+from .relational import COMMERCE, PARTS, SPECTRAL, TRADE
 
 
 def text(t: str) -> str:
@@ -663,3 +663,31 @@ def p11(spark, d):
 def a02b(spark, d):
     g = V.parts(spark, d)
     return A.degrees(g).join(g.vertices.select("id", "label"), "id").groupBy("label").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+
+
+def twin(name: str) -> str:
+    """The SQL of another query, on the part graph."""
+    return "(" + REGISTRY[name][1].replace(TRADE, PARTS) + ") " + name
+
+
+@query(
+    "g08_smells",
+    f"""select 'cycle' as kind, count(distinct component) as n from {twin('g04_strong_components')} union all select 'cut_vertex', count(*) from {twin('g06_cut_vertices')} union all select 'bridge', count(*) from {twin('g05_bridges')}
+    union all select 'hub', count(*) from {twin('a03_hubs')} where kind in ('god-module', 'hub') union all select 'off_main_sequence', count(*) from {twin('a04_martin_metrics')} where distance > 0.7 union all select 'mesh', count(*) from {twin('g07_mesh')} where density >= 0.5""",
+)
+def g08(spark, d):
+    from ..operators.components import smells
+
+    return smells(V.parts(spark, d))
+
+
+@query(
+    "a13_snapshot_metrics",
+    f"with s as ({SPECTRAL.format(base=PARTS)} select * from x), r as ({PARTS}, {pagerank_sql(8)}), t as (select round(avg(rank), 7) as top_rank from (select rank from r order by rank desc limit 5)), q as (select round(modularity, 7) as modularity from {twin('a08_modularity_directed')}) select * from s, t, q",
+)
+def a13(spark, d):
+    from ..operators.centrality import pagerank
+
+    g = V.parts(spark, d)
+    top = pagerank(g, iterations=8, tolerance=None).orderBy(F.desc("rank")).limit(5).agg(F.round(F.avg("rank"), 7).alias("top_rank"))
+    return A.spectral(g).crossJoin(top).crossJoin(A.modularity_directed(g, V.sql(spark, d, V.PART_MEMBERS)).select(F.round("modularity", 7).alias("modularity")))

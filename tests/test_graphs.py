@@ -121,6 +121,22 @@ def test_random_graphs_against_brute_force(spark):
     assert as_dict(K.connected_components(g), "id", "component").keys() == set(ids)
 
 
+@pytest.mark.parametrize("kernel_edges", [200_000, 30, 1])
+def test_strong_components_by_walk_and_by_joins(spark, kernel_edges):
+    rng = random.Random(8)
+    pairs = {(f"{c}{rng.randrange(14):02}", f"{c}{rng.randrange(14):02}") for c in "abcdef" for _ in range(rng.choice([8, 16, 40]))}
+    reach = {v: {v} for p in pairs for v in p}
+    for _ in reach:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = {}
+    for v in reach:
+        mates = {w for w in reach[v] if v in reach[w]}
+        if len(mates) > 1:
+            want[v] = min(mates)
+    assert want and as_dict(K.strong_components(graph(spark, sorted(pairs)), kernel_edges=kernel_edges), "id", "component") == want
+
+
 def test_louvain_raises_rather_than_change_its_method(spark):
     g = graph(spark, both(*CHAIN))
     with pytest.raises(ValueError, match="max_component_edges"):
