@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next one's docs. All but the last return the
 columns of documents.
+
+Null texts count as empty and pass all stages but those whose rule they fail;
+rows without an id are never near-duplicates and never learnt from; repeated rows
+of an id become one at the near-duplicate stage (the smallest text). Empty tables
+give empty tables, and further columns of documents, whatever their names, are
+carried up to the last stage.
 """
 
 from __future__ import annotations
