@@ -248,6 +248,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flat = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     ordered = [text, *(c for c, kind in flat.dtypes if c not in (key, text) and "map<" not in kind and "variant" not in kind)]
-    held = flat.where(F.col(key).isNotNull()).join(kept.hint("merge"), F.col(key) == F.col("k"), "left_semi")
-    one = held.groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct(*flat.columns), F.struct(*ordered)).alias("r")).select("r.*")
+    held = flat.where(F.col(key).isNotNull()).join(kept.hint("merge"), F.col(key) == F.col("k"), "left_semi").groupBy(F.col(key).alias("k"))
+    if len(ordered) + 1 == len(names):
+        # a row is its own order, so its text is carried once
+        one = held.agg(F.min(F.struct(*ordered)).alias("r")).select(*(F.col("k").alias(c) if c == key else F.col(f"r.{c}").alias(c) for c in flat.columns))
+    else:
+        one = held.agg(F.min_by(F.struct(*flat.columns), F.struct(*ordered)).alias("r")).select("r.*")
     return one.unionByName(flat.where(F.col(key).isNull())).toDF(*names)

@@ -127,6 +127,8 @@ def test_one_row_of_a_shared_id_stays(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string, k string")
     got = sorted((r.doc_id or 0, r.text, r.k) for r in near_dedup.keep_one(docs).collect())
     assert got == [(0, base, "v"), (0, base, "v"), (1, base + " a", "x")]
+    mapped = docs.withColumn("m", F.create_map(F.lit("a"), F.col("k")))
+    assert sorted((r.doc_id or 0, r.text, r.k, r.m["a"]) for r in near_dedup.keep_one(mapped).collect()) == [(d, t, k, k) for d, t, k in got]
 
 
 def test_signature_densification_keeps_minima():
