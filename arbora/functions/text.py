@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +126,8 @@ def _cvc(w: str) -> bool:
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log".split()
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+_LONGEST_FIRST = [sorted((t.split(":") for t in table), key=lambda t: -len(t[0])) for table in (_STEP2, _STEP3)]
+_STEP4_LONGEST_FIRST = sorted(_STEP4, key=lambda e: -len(e))
 
 
 def porter_stem(w: str) -> str:
@@ -148,13 +154,13 @@ def porter_stem(w: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        for end, new in sorted((t.split(":") for t in table), key=lambda t: -len(t[0])):
+    for table in _LONGEST_FIRST:
+        for end, new in table:
             if w.endswith(end):
                 if _measure(w[: -len(end)]) > 0:
                     w = w[: -len(end)] + new
                 break
-    for end in sorted(_STEP4, key=lambda e: -len(e)):
+    for end in _STEP4_LONGEST_FIRST:
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):
@@ -167,11 +173,32 @@ def porter_stem(w: str) -> str:
     return w
 
 
+@lru_cache(maxsize=300_000)
+def _known_stem(w: str | None) -> str | None:
+    return w if w is None else porter_stem(w)
+
+
+def _stems(words: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is stemmed once, and each worker remembers words over batches."""
+    coded = words.dictionary_encode()
+    return pa.array([_known_stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
 def stem(words: Column | str) -> Column:
-    """Porter stems, in Arrow batches; each worker remembers the words of a batch."""
+    """Porter stems, in Arrow batches."""
 
-    def run(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return batch.map(lambda w: w if w is None else known.setdefault(w, porter_stem(w)))
+    def run(batch: pa.Array) -> pa.Array:
+        return _stems(batch)
+
+    return F.arrow_udf(run, "string")(words)
+
+
+def stem_all(words: Column | str) -> Column:
+    """Porter stems of arrays of words: as stem, without a row for each word on the way."""
+
+    def run(batch: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), _stems(batch.flatten()), mask=batch.is_null())
 
-    return F.pandas_udf(run, "string")(words)
+    return F.arrow_udf(run, "array<string>")(words)

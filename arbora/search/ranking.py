@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine
-from ..functions.text import query_terms, stem, token_rows, tokens
+from ..functions.text import query_terms, stem_all, token_rows, tokens
 from ..storage import Workspace
 
 K1, B = 1.2, 0.75
 
 
+def word_rows(texts: DataFrame, stemming: bool = False) -> DataFrame:
+    """(id, term, tf 1) of every word; terms of letters, digits and underscores, lower case; stemming by Porter."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+"), F.lit(0))
+    return texts.select("id", F.explode(stem_all(words) if stemming else words).alias("term")).withColumn("tf", F.lit(1).cast("bigint"))
+
+
 def postings(texts: DataFrame, stemming: bool = False) -> DataFrame:
-    """(id, term, tf); terms of letters, digits and underscores, lower case; stemming by Porter."""
-    words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("term"))
-    if stemming:
-        words = words.withColumn("term", stem(F.col("term")))
-    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf): word_rows, a term of a text once."""
+    return word_rows(texts, stemming).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def field_texts(vertices: DataFrame, fields: tuple[str, ...] = ("id", "label", "name", "file_path")) -> DataFrame:
@@ -28,8 +31,8 @@ def field_texts(vertices: DataFrame, fields: tuple[str, ...] = ("id", "label", "
 def bm25_search(index: DataFrame, query: str, limit: int = 20, stemming: bool = False) -> DataFrame:
     """(id, score), best first: every query term must occur as a prefix of some term; BM25 over the matching postings.
 
-    Only postings that a term's prefix matches are read twice; lengths come from
-    one pass over the index. An empty query finds nothing.
+    index: postings, or word_rows for a single search. It is read once, into one written row of length and
+    matches a text. An empty query finds nothing.
     """
     terms = query_terms(query)
     spark = index.sparkSession
@@ -39,16 +42,18 @@ def bm25_search(index: DataFrame, query: str, limit: int = 20, stemming: bool =
         terms = [porter_stem(t) for t in terms]
     if not terms:
         return spark.createDataFrame([], "id string, score double")
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    matched = F.array_compact(F.array(*(F.when(F.startswith("term", F.lit(t)), F.lit(k)) for k, t in enumerate(terms))))
-    hits = index.where(F.col("term").rlike("^(" + "|".join(terms) + ")")).select("id", "tf", F.explode(matched).alias("q")).groupBy("id", "q").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "q").join(lengths, "id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    ranked = scored.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("k")).where(F.col("k") == len(terms))
-    return ranked.select("id", "score").orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    tf = [f"tf{k}" for k in range(len(terms))]
+    matched = [F.sum(F.when(F.startswith("term", F.lit(t)), F.col("tf"))).alias(c) for t, c in zip(terms, tf)]
+    rows = Workspace(spark, "bm25").save(index.groupBy("id").agg(F.sum("tf").alias("len"), *matched), "texts")
+    found = rows.where("id is not null")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).crossJoin(F.broadcast(found.agg(*(F.count(c).alias(f"d{c}") for c in tf))))
+    scored = found.dropna(subset=tf).crossJoin(F.broadcast(stats))
+
+    def part(c: str) -> Column:
+        idf = F.log(1 + (F.col("n") - F.col(f"d{c}") + 0.5) / (F.col(f"d{c}") + 0.5))
+        return idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+
+    return scored.select("id", sum((part(c) for c in tf[1:]), part(tf[0])).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
 def update_postings(index: DataFrame, texts: DataFrame, removed: DataFrame | None = None, stemming: bool = False) -> DataFrame:

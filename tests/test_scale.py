@@ -1,8 +1,10 @@
 """Joins and searches on crowded keys: whole results without pairing a crowd with itself."""
 
+from arbora.functions import text as X
 from arbora.model import PropertyGraph
 from arbora.operators import joins as J
 from arbora.operators.api import api_impact, route_consumers
+from arbora.search import ranking as R
 
 
 def output_rows(df):
@@ -92,3 +94,11 @@ def test_wildcard_imports_need_no_sort_of_pairs(spark):
     assert len(rows) == len(want) and set(rows) == want
     one = J.resolve_imports(i.where("import_id = 'i1'"), s, wildcard=True)
     assert output_rows(one) <= 1000
+
+
+def test_stemmed_search_reads_words_once(spark):
+    assert [r[0] for r in spark.createDataFrame([(["running", None, "ties"],), (None,), ([],)], "w array<string>").select(X.stem_all("w")).collect()] == [["run", None, "ti"], None, []]
+    texts = spark.createDataFrame([("a", "Running runs, ponies"), ("b", "ran running pony pony"), ("c", "pony"), ("d", None), (None, "running ponies")], "id string, text string")
+    want = [tuple(r) for r in R.bm25_search(R.postings(texts, stemming=True), "runs ponies", stemming=True).collect()]
+    got = [tuple(r) for r in R.bm25_search(R.word_rows(texts, stemming=True), "runs ponies", stemming=True).collect()]
+    assert [r[0] for r in got] == ["a", "b"] and got == want
