@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_up
 from ..model import MOTIF, PropertyGraph
+from ..storage import Workspace
 
 #: Neighbours of a vertex, in order of id, among which the four-vertex census looks.
 NEIGHBOURS = 30
@@ -17,16 +18,16 @@ def _ordered(g: PropertyGraph) -> DataFrame:
     """Pairs directed from the vertex of lower degree (then smaller id): no vertex has many of them out, so hubs stay cheap."""
     pairs = g.undirected()
     d = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    e = pairs.join(d.toDF("a", "na"), "a").join(d.toDF("b", "nb"), "b")
+    e = pairs.join(d.toDF("a", "na").hint("merge"), "a").join(d.toDF("b", "nb").hint("merge"), "b")
     return e.where(F.struct("na", "a") < F.struct("nb", "b")).select("a", "b")
 
 
 def triangles(g: PropertyGraph) -> DataFrame:
     """(x, y, z) of every triangle, once."""
     e = _ordered(g)
-    wedge = e.toDF("x", "y").join(e.toDF("x", "z"), "x").where("y < z")
+    wedge = e.toDF("x", "y").join(e.toDF("x", "z").hint("merge"), "x").where("y < z")
     closing = e.select(F.least("a", "b").alias("y"), F.greatest("a", "b").alias("z"))
-    return wedge.join(closing, ["y", "z"]).select("x", "y", "z")
+    return wedge.join(closing.hint("merge"), ["y", "z"]).select("x", "y", "z")
 
 
 def triangle_counts(g: PropertyGraph) -> DataFrame:
@@ -59,7 +60,7 @@ def quads(g: PropertyGraph, neighbours: int = NEIGHBOURS) -> DataFrame:
     trio = trio.select("a", "b", "c", F.explode(F.slice("ns", F.col("j") + 2, F.size("ns"))).alias("d"))
     sets = trio.select(F.sort_array(F.array("a", "b", "c", "d")).alias("q")).distinct()
     sides = F.array(*(F.struct(F.col("q")[i].alias("a"), F.col("q")[j].alias("b")) for i in range(4) for j in range(i + 1, 4)))
-    e = sets.select("q", F.explode(sides).alias("s")).select("q", "s.*").join(pairs, ["a", "b"])
+    e = sets.select("q", F.explode(sides).alias("s")).select("q", "s.*").join(pairs.hint("merge"), ["a", "b"])
     per = e.groupBy("q").agg(F.count(F.lit(1)).alias("n_edges"), F.collect_list(F.struct("a", "b")).alias("es"))
     top = F.array_max(F.transform("q", lambda v: F.size(F.filter("es", lambda x: (x["a"] == v) | (x["b"] == v)))))
     shape = F.when(F.col("n_edges") == 6, "clique").when(F.col("n_edges") == 5, "diamond").when((F.col("n_edges") == 4) & (top == 2), "cycle").when(F.col("n_edges") == 4, "diamond")
@@ -73,9 +74,17 @@ def motif4(g: PropertyGraph, neighbours: int = NEIGHBOURS) -> DataFrame:
 
 
 def census(g: PropertyGraph) -> DataFrame:
-    """One row: motif3, motif4, n_vertices, n_edges over the dependency edges."""
-    d = g.of_types(*MOTIF).without_dangling()
-    return motif3(d).crossJoin(F.broadcast(motif4(d)))
+    """One row: motif3, motif4, n_vertices, n_edges over the dependency edges.
+
+    The simple graph is made and written once; no join sends a table of its size through the driver.
+    """
+    work, ids = Workspace(g.spark, "census"), g.vertices.select("id").hint("merge")
+    e = g.of_types(*MOTIF).edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    d = PropertyGraph(g.vertices, work.save(e, "edges"))
+    out = work.save(motif3(d).crossJoin(F.broadcast(motif4(d))), "result")
+    work.drop_all_but("result")
+    return out
 
 
 def typed_pairs(g: PropertyGraph) -> DataFrame:
@@ -202,8 +211,6 @@ def typed_smells(g: PropertyGraph, property_limit: int = 5, call_limit: int = 1)
 
 def inheritance_depth(g: PropertyGraph, max_depth: int = 50) -> DataFrame:
     """id, depth: the longest chain of EXTENDS edges from each vertex, cut at max_depth on cycles."""
-    from ..storage import Workspace
-
     work = Workspace(g.spark, "inheritance")
     e = work.save(g.edges.where("type = 'EXTENDS' and src <> dst").select("src", "dst").distinct(), "edges")
     state = e.select(F.col("src").alias("id")).distinct().withColumn("depth", F.lit(1))
