@@ -9,25 +9,30 @@ from ..functions.scalar import round_half_up
 from ..model import MOTIF, PropertyGraph
 from ..storage import Workspace
 
-#: Neighbours of a vertex, in order of id, among which the four-vertex census looks.
+#: Neighbours of a vertex, in order of id, among which quads() looks, as its SQL twin does. The census has no such limit.
 NEIGHBOURS = 30
 MOTIF3, MOTIF4 = ("empty", "one_edge", "two_edge", "triangle"), ("chain", "star", "diamond", "cycle", "clique")
 
 
 def _ordered(g: PropertyGraph) -> DataFrame:
-    """Pairs directed from the vertex of lower degree (then smaller id): no vertex has many of them out, so hubs stay cheap."""
+    """Pairs directed from the vertex of lower degree (then smaller id), with both degrees: no vertex has many of them out, so hubs stay cheap."""
     pairs = g.undirected()
     d = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     e = pairs.join(d.toDF("a", "na").hint("merge"), "a").join(d.toDF("b", "nb").hint("merge"), "b")
-    return e.where(F.struct("na", "a") < F.struct("nb", "b")).select("a", "b")
+    return e.where(F.struct("na", "a") < F.struct("nb", "b")).select("a", "b", "na", "nb")
 
 
-def triangles(g: PropertyGraph) -> DataFrame:
-    """(x, y, z) of every triangle, once."""
+def _triangles(g: PropertyGraph) -> DataFrame:
+    """x, y, z, degrees: every triangle once and the sum of its vertices' degrees; x is the first in _ordered's order, y < z."""
     e = _ordered(g)
-    wedge = e.toDF("x", "y").join(e.toDF("x", "z").hint("merge"), "x").where("y < z")
+    wedge = e.toDF("x", "y", "nx", "ny").join(e.select(F.col("a").alias("x"), F.col("b").alias("z"), F.col("nb").alias("nz")).hint("merge"), "x").where("y < z")
     closing = e.select(F.least("a", "b").alias("y"), F.greatest("a", "b").alias("z"))
-    return wedge.join(closing.hint("merge"), ["y", "z"]).select("x", "y", "z")
+    return wedge.join(closing.hint("merge"), ["y", "z"]).select("x", "y", "z", (F.col("nx") + F.col("ny") + F.col("nz")).alias("degrees"))
+
+
+def triangles(g: PropertyGraph) -> DataFrame:
+    """(x, y, z) of every triangle, once."""
+    return _triangles(g).select("x", "y", "z")
 
 
 def triangle_counts(g: PropertyGraph) -> DataFrame:
@@ -36,12 +41,12 @@ def triangle_counts(g: PropertyGraph) -> DataFrame:
     return g.vertices.select("id").join(t, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def motif3(g: PropertyGraph) -> DataFrame:
-    """One row, exact for any size: triples with no, one, two, three edges, from degrees and triangles alone."""
+def motif3(g: PropertyGraph, found: DataFrame | None = None) -> DataFrame:
+    """One row, exact for any size: triples with no, one, two, three edges, from degrees and triangles (found, if at hand) alone."""
     pairs = g.undirected()
     d = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
     sums = d.agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).alias("wedges"), F.coalesce(F.sum("d") / 2, F.lit(0.0)).alias("m"))
-    t = triangles(g).agg(F.count(F.lit(1)).alias("t"))
+    t = (triangles(g) if found is None else found).agg(F.count(F.lit(1)).alias("t"))
     n = g.vertices.agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = n.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(t))
     two = F.col("wedges") - 3 * F.col("t")
@@ -73,16 +78,40 @@ def motif4(g: PropertyGraph, neighbours: int = NEIGHBOURS) -> DataFrame:
     return quads(g, neighbours).agg(*(F.count_if(F.col("shape") == s).alias(s) for s in MOTIF4))
 
 
+def whole_motif4(g: PropertyGraph, found: DataFrame) -> DataFrame:
+    """One row, exact for any size: motif4 with all neighbours of each vertex; found: the graph's _triangles.
+
+    Stars, tailed triangles and diamonds are counted as subgraphs from degrees and triangles, cliques as pairs of triangles
+    whose far ends meet; what larger shapes hold of smaller ones is then taken off. In chains and cycles no vertex has three
+    neighbours, so both are 0.
+    """
+    pairs, t = g.undirected(), found.select("x", "y", "z")
+    total = lambda c, name: F.coalesce(F.sum(c.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias(name)
+    stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d")).agg(total(F.expr("cast(d * (d - 1) div 2 as decimal(38,0))") * (F.col("d") - 2), "stars3"))
+    tails = found.agg(total(F.col("degrees") - 6, "tails"))
+    sides = t.select(F.explode(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in ("xy", "xz", "yz")))).alias("s"))
+    twos = sides.groupBy("s.a", "s.b").agg(F.count(F.lit(1)).alias("k")).agg(total(F.expr("k * (k - 1) div 2"), "twos"))
+    far = t.join(t.toDF("x", "y", "w").hint("merge"), ["x", "y"]).where("z < w").groupBy(F.col("z").alias("a"), F.col("w").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    cliques = far.join(pairs.where("a < b").hint("merge"), ["a", "b"]).agg(total(F.col("k"), "clique"))
+    one = stars.crossJoin(F.broadcast(tails)).crossJoin(F.broadcast(twos)).crossJoin(F.broadcast(cliques))
+    near = F.col("twos") - 6 * F.col("clique")
+    tailed = F.col("tails") - 4 * near - 12 * F.col("clique")
+    star = F.col("stars3") / 3 - tailed - 2 * near - 4 * F.col("clique")
+    shapes = {"chain": F.lit(0), "star": star, "diamond": tailed + near, "cycle": F.lit(0), "clique": F.col("clique")}
+    return one.select(*(shapes[s].cast("bigint").alias(s) for s in MOTIF4))
+
+
 def census(g: PropertyGraph) -> DataFrame:
-    """One row: motif3, motif4, n_vertices, n_edges over the dependency edges.
+    """One row: motif3, whole_motif4, n_vertices, n_edges over the dependency edges.
 
-    The simple graph is made and written once; no join sends a table of its size through the driver.
+    The simple graph and its triangles are made and written once; no join sends a table of its size through the driver.
     """
     work, ids = Workspace(g.spark, "census"), g.vertices.select("id").hint("merge")
     e = g.of_types(*MOTIF).edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     d = PropertyGraph(g.vertices, work.save(e, "edges"))
-    out = work.save(motif3(d).crossJoin(F.broadcast(motif4(d))), "result")
+    t = work.save(_triangles(d), "triangles")
+    out = work.save(motif3(d, t).crossJoin(F.broadcast(whole_motif4(d, t))), "result")
     work.drop_all_but("result")
     return out
 

@@ -1,5 +1,8 @@
 """Joins and searches on crowded keys: whole results without pairing a crowd with itself."""
 
+import random
+from itertools import combinations
+
 from arbora.functions import text as X
 from arbora.model import PropertyGraph
 from arbora.operators import centrality as C
@@ -158,3 +161,23 @@ def test_census_sends_no_table_through_the_driver(spark):
     assert (row.n_vertices, row.triangle, row.clique) == (16, 5, 1)
     small = PropertyGraph(g.vertices, spark.sql("select * from values ('a', 'b', 'CALLS', 1.0D), ('b', 'c', 'CALLS', 1.0D), ('a', 'c', 'CALLS', 1.0D) as e(src, dst, type, confidence)"))
     assert "BroadcastHashJoin" not in M.triangles(small)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_census_looks_at_all_neighbours(spark):
+    rng, ids = random.Random(18), [f"v{k:02}" for k in range(48)]
+    pairs = {(ids[20], i) for i in ids if i != ids[20]} | {(a, b) for a, b in combinations(ids, 2) if rng.random() < (0.7 if b < "v10" else 0.06)}
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    shape = {(3, 3): "star", (4, 3): "diamond", (5, 3): "diamond", (6, 3): "clique"}
+    want = dict.fromkeys(M.MOTIF4, 0)
+    for q in combinations(ids, 4):
+        inner = [len(near[i].intersection(q)) for i in q]
+        if max(inner) == 3:
+            want[shape[sum(inner) // 2, 3]] += 1
+    assert len(near[ids[20]]) == 47 and min(want[s] for s in ("star", "diamond", "clique")) > 50
+    v = spark.createDataFrame([(i,) for i in ids], "id string").selectExpr("id", "'Function' as label", "id as name", "id as file_path")
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string").selectExpr("src", "dst", "'CALLS' as type", "1.0D as confidence")
+    row = M.census(PropertyGraph(v, e)).first().asDict()
+    assert {s: row[s] for s in M.MOTIF4} == want
